@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from palisade.llm.common import table
 
 
+#: Of the public vocabulary files; see the tokenizers' README.
+BPE_FILE, UNIGRAM_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from palisade.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, digest=True)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.chat import chat_digest, format_chats
 
@@ -17,6 +35,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(turns))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.quality import judge_quality
 
@@ -29,6 +53,14 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_format, op7_quality_rules, op9_url_filters)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from palisade.llm.unigram import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(UNIGRAM_FILE))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_bpe, op4_chat_format, op6_html_extract, op7_quality_rules, op9_url_filters, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
