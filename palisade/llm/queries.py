@@ -35,6 +35,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(turns))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.html_text import extract_text
 
@@ -47,6 +53,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.urls import filter_urls
 
@@ -61,6 +73,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(UNIGRAM_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_bpe, op4_chat_format, op6_html_extract, op7_quality_rules, op9_url_filters, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_bpe, op4_chat_format, op5_near_duplicates, op6_html_extract, op7_quality_rules, op8_decontaminate, op9_url_filters, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
