@@ -18,6 +18,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.lmscore import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +79,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(UNIGRAM_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_bpe, op4_chat_format, op5_near_duplicates, op6_html_extract, op7_quality_rules, op8_decontaminate, op9_url_filters, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_bpe, op4_chat_format, op5_near_duplicates, op6_html_extract, op7_quality_rules, op8_decontaminate, op9_url_filters, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
