@@ -73,3 +73,19 @@ def text_of(column: str | Column) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for an empty one."""
     return F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+"), "")
+
+
+#: Up to so many keys (of some 60 bytes) are broadcast; more are joined by a shuffle.
+SENT_KEYS = 1_000_000
+
+
+def row_key(id_col: str, text_col: str, *more: str) -> Column:
+    """A text that tells documents apart: id, and a hash of the text and further columns."""
+    return F.concat_ws(":", F.col(id_col).cast("string"), F.hex(F.xxhash64(text_of(text_col), *more)))
+
+
+def without(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
+    """docs without the rows whose key is the one column of ``bad``."""
+    bad = bad.select(F.col(bad.columns[0]).alias("_bad")).distinct()
+    few = bad.limit(SENT_KEYS + 1).count() <= SENT_KEYS
+    return docs.join(F.broadcast(bad) if few else bad, key == F.col("_bad"), "left_anti")

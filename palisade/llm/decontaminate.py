@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import materialize, text_of, words_of
+from palisade.llm.common import materialize, row_key, text_of, without, words_of
 
 SHINGLE = 5
 RADIUS, BLOCKS, BLOCK_BITS = 15, 16, 4
@@ -115,3 +115,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.where(F.col("best.similarity") >= similarity).select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("best.neg")).cast("long").alias("start"), F.col("best.similarity").alias("similarity")
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns."""
+    key = row_key(id_col, text_col)
+    bad = contaminated(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text", similarity=similarity)
+    return without(docs, key, materialize(bad.select("key"), "leaks"))

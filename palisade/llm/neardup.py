@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palisade.llm import bagminhash as bag
-from palisade.llm.common import materialize, release, text_of
+from palisade.llm.common import materialize, release, text_of, without
 from palisade.llm.components import components
 
 #: Texts this similar are near duplicates.
@@ -38,7 +38,7 @@ WORDS_AT_ONCE = 300_000
 def _sign(batches):
     import pyarrow as pa
 
-    def rows(ids, nodes, bags, digests):
+    def rows(ids, nodes, keys, bags, digests):
         full = [k for k, b in enumerate(bags) if len(b)]
         bands = nibbles = ()
         if full:
@@ -46,23 +46,24 @@ def _sign(batches):
             bands, nibbles = bag.band_keys(sig), bag.slot_nibbles(sig)
         place = {k: i for i, k in enumerate(full)}
         lists = lambda x: pa.array([x[place[k]] if k in place else None for k in range(len(bags))], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(ids, ids_type), pa.array(nodes, pa.int64()), pa.array(digests, pa.binary()), lists(bands), lists(nibbles)], ["id", "node", "digest", "bands", "slots"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, ids_type), pa.array(nodes, pa.int64()), pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), lists(bands), lists(nibbles)], ["id", "node", "key", "digest", "bands", "slots"])
 
     for batch in batches:
         ids_type = batch.column("id").type
-        ids, nodes, bags, digests, n = [], [], [], [], 0
-        for i, node, text in zip(batch.column("id").to_pylist(), batch.column("node").to_pylist(), batch.column("text"), strict=True):
+        ids, nodes, keys, bags, digests, n = [], [], [], [], [], 0
+        for i, node, key, text in zip(batch.column("id").to_pylist(), batch.column("node").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
             words = bag.word_hashes(text.as_py())
             ids.append(i)
             nodes.append(node)
+            keys.append(key)
             digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None)
             bags.append(bag.shingles(words))
             n += len(words)
             if n >= WORDS_AT_ONCE:
-                yield rows(ids, nodes, bags, digests)
-                ids, nodes, bags, digests, n = [], [], [], [], 0
+                yield rows(ids, nodes, keys, bags, digests)
+                ids, nodes, keys, bags, digests, n = [], [], [], [], [], 0
         if ids:
-            yield rows(ids, nodes, bags, digests)
+            yield rows(ids, nodes, keys, bags, digests)
 
 
 def _bags(batches):
@@ -108,9 +109,9 @@ class NearDuplicates:
         number = F.col(id_col).cast("long")
         # A document without an id is known by its text, as a negative number.
         node = F.coalesce(number, F.xxhash64(text).bitwiseOR(F.lit(-(2**63))))
-        self.docs = docs.select(F.col(id_col).alias("id"), node.alias("node"), text.alias("text"))
+        self.docs = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.xxhash64(text).alias("key"), text.alias("text"))
         kind = self.docs.schema["id"].dataType.simpleString()
-        self.signed = materialize(self.docs.mapInArrow(_sign, f"id {kind}, node long, digest binary, bands array<long>, slots array<long>"), "signed")
+        self.signed = materialize(self.docs.mapInArrow(_sign, f"id {kind}, node long, key long, digest binary, bands array<long>, slots array<long>"), "signed")
         with_words = self.signed.where("digest is not null")
         self.texts = materialize(with_words.groupBy("digest").agg(F.min("node").alias("rep"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "texts")
         keys = self.texts.select("rep", F.explode("bands").alias("key"))
@@ -162,12 +163,36 @@ class NearDuplicates:
         return both.mapInArrow(_alike(self.similarity), "a long, b long").distinct()
 
     def classes(self) -> DataFrame:
-        """(id, node, digest, class) of each document."""
+        """(id, node, key, class) of each document."""
         labels = components(self.links())
         rep = self.texts.select("digest", "rep")
-        known = self.signed.select("id", "node", "digest").where("digest is not null").join(rep, "digest")
-        known = known.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "node", "digest", F.coalesce("component", "rep").alias("class"))
-        return known.union(self.signed.where("digest is null").select("id", "node", "digest", F.col("node").alias("class")))
+        known = self.signed.select("id", "node", "key", "digest").where("digest is not null").join(rep, "digest")
+        known = known.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "node", "key", F.coalesce("component", "rep").alias("class"))
+        return known.union(self.signed.where("digest is null").select("id", "node", "key", F.col("node").alias("class")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each class, with all its columns: that of the least id.
+
+    Of rows that share the id, the one whose text has the least hash stays; of equal
+    rows one stays.
+    """
+    run = NearDuplicates(docs, id_col, text_col, similarity)
+    known = materialize(run.classes().select("node", "key", "class").groupBy("node", "key").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("n")), "classes")
+    best = known.where(F.col("node") == F.col("class")).groupBy("class").agg(F.min("key").alias("best"))
+    named = F.concat_ws(":", "node", "key")
+    more = known.where(F.col("node") != F.col("class")).select(named.alias("name"))
+    more = more.union(known.where(F.col("node") == F.col("class")).join(best, "class").where("key <> best").select(named.alias("name")))
+    text = text_of(text_col)
+    node = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(2**63))))
+    name = F.concat_ws(":", node, F.xxhash64(text))
+    kept = without(docs, name, materialize(more, "dropped"))
+    twice = known.where("n > 1 and node = class").select(named.alias("name"))
+    if not twice.take(1):
+        return kept
+    # Equal rows that stay: one of each.
+    again = kept.withColumn("_name", name).join(twice.select(F.col("name").alias("_name")), "_name", "left_semi").dropDuplicates(["_name"]).select(docs.columns)
+    return without(kept, name, twice).union(again)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import BLANK, materialize, text_of, words_of
+from palisade.llm.common import BLANK, materialize, row_key, text_of, without, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -99,6 +99,14 @@ def host_verdicts(measured: DataFrame, share: float = HOST_SHARE) -> DataFrame:
     return hosts.join(F.broadcast(fit)).select("host", "docs", "failed", shrunk.alias("shrunk"), (shrunk > share).alias("rejected"))
 
 
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = HOST_SHARE) -> DataFrame:
+    """The documents that judge_quality keeps, with all their columns."""
+    key = row_key(id_col, text_col, host_col)
+    keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    bad = judge_quality(keyed, "key", "text", "host", share).where("not kept").select("key")
+    return without(docs, key, materialize(bad, "rejected"))
+
+
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = HOST_SHARE) -> DataFrame:
     """Measures, failed rules and verdict of each document.
 
