@@ -13,6 +13,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: A host goes if its shrunk share of failing documents is above this.
 HOST_SHARE = 0.5
+#: Up to so many rejected hosts are broadcast; more are joined by a shuffle.
+SENT_HOSTS = 50_000
 
 
 def _let(value: Column, use) -> Column:
@@ -119,7 +121,8 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = F.array_compact(F.array(*[F.when(F.expr(cond), F.lit(name)) for name, cond in RULES.items()]))
     m = materialize(m.withColumn("failed", failed), "quality")
     bad = host_verdicts(m, share).where("rejected").select(F.col("host").alias("h"), "shrunk")
-    # Only rejected hosts are joined, so documents of other hosts never wait for a match.
+    # Rejected hosts are few: sent to all tasks if so, documents stay where they are.
+    bad = F.broadcast(bad) if bad.limit(SENT_HOSTS + 1).count() <= SENT_HOSTS else bad
     out = m.join(bad, F.col("host") == F.col("h"), "left")
     base = F.array_contains("failed", "short") | F.array_contains("failed", "repeats")
     kept = ~base & ~F.array_contains("failed", "symbols") & F.col("h").isNull()
