@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palisade.functions import names, stats, text
+from palisade.functions import canonical, names, stats, text
 from palisade.operators import gate, hunks, references, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,3 +524,30 @@ def q50_severity_case_sarif(t: Tables) -> DataFrame:
     level = F.when(F.col("event_type") == "error", "error").when((F.col("event_type") == "purchase") & (F.col("value") > 50), "warning").otherwise("note")
     line = F.coalesce(F.nullif(F.col("event_id") % 40, F.lit(0)), F.nullif(F.col("user_id") % 30, F.lit(0)), F.lit(1)).cast("long")
     return t.events.select("event_id", level.alias("level"), line.alias("line"))
+
+
+# --- canonical JSON and identities
+
+@query("""SELECT doc_id, 'sha256:' || sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n":[' || n_chars || ',0.5],"source":"' || source || '"}') AS payload_hash FROM documents""")
+def q51_canonical_hash(t: Tables) -> DataFrame:
+    value = F.to_json(F.struct("source", F.array(F.col("n_chars").cast("string"), F.lit("0.5")).alias("n"), "lang", "doc_id"))
+    numbers = F.regexp_replace(value, r'"(\d+)","0\.5"', "$1,5e-1")
+    return t.documents.select("doc_id", canonical.canonical_hash(numbers).alias("payload_hash"))
+
+
+@query("""SELECT doc_id, 'sha256:' || sha256('{"check_id":"security","defect_id":"SEC-SECRET","defect_semantics_version":1,"evidence_identity":{"lang":"' || lang || '"},"path":"' || source || '/' || doc_id || '","symbol":""}') AS fingerprint FROM documents""")
+def q52_finding_fingerprint(t: Tables) -> DataFrame:
+    identity = F.to_json(F.struct("lang", F.col("n_chars").alias("line")))
+    path = F.concat(F.lit("./"), "source", F.lit("//"), F.col("doc_id").cast("string"))
+    return t.documents.select("doc_id", canonical.finding_fingerprint(F.lit("security"), F.lit("SEC-SECRET"), path, F.lit(""), identity).alias("fingerprint"))
+
+
+@query()
+def q53_bootstrap_ci(t: Tables) -> DataFrame:
+    return t.events.groupBy("event_type").agg(stats.bootstrap_ci(0.5, 200)("value").alias("interval"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_quantity) AS least, quantile_disc(l_quantity, 0.5) AS median, quantile_disc(l_quantity, 0.95) AS p95, max(l_quantity) AS most, round(avg(l_quantity), 6) AS mean, CASE WHEN count(*) < 1000 THEN 'INSUFFICIENT_DATA' WHEN quantile_disc(l_quantity, 0.95) <= 48 THEN 'MET' ELSE 'NOT_MET' END AS state FROM lineitem GROUP BY 1, 2")
+def q54_sample_summary(t: Tables) -> DataFrame:
+    s = stats.summary(t.lineitem, ["l_returnflag", "l_linestatus"], "l_quantity")
+    return s.select("l_returnflag", "l_linestatus", "n", "least", "median", "p95", "most", F.round("mean", 6).alias("mean"), stats.sufficiency(F.col("n"), F.lit(1000), F.col("p95"), F.lit(48)).alias("state"))
