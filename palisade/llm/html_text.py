@@ -51,6 +51,7 @@ DEEPEST = 500
 
 
 def _around(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element stands around an article. A header inside one holds its title."""
     if tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -59,15 +60,18 @@ def _around(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and any(w.lower() in AROUND for w in SPLIT_NAME.split(value)):
-            return True
+        if name in ("class", "id", "role"):
+            words = {w.lower() for w in SPLIT_NAME.split(value)} & AROUND
+            if words - {"header"} if in_article else words:
+                return True
     return False
 
 
 class Page:
     """Nodes in page order: parent, tag, and counts of a node's own subtree."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_name: bool = True):
+        self.by_name = by_name
         self.tag, self.parent, self.tags, self.chars, self.link_tags, self.link_chars = ["#page"], [-1], [0], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []  # node, text; an empty text is a border between blocks
         self._read(source)
@@ -150,7 +154,7 @@ class Page:
                 self.tags[node] += 1
             return at
         in_article = any(t in ("article", "main") for t, _ in open_)
-        if node < 0 or tag in DROP or _around(tag, attributes, in_article):
+        if node < 0 or tag in DROP or self.by_name and _around(tag, attributes, in_article):
             new = -1
         else:
             new = len(self.tag)
@@ -224,7 +228,8 @@ class Page:
 
 
 def main_text(source: str) -> str:
-    return Page(source).text() if source else ""
+    """The article's text; names of classes are not believed if they leave nothing."""
+    return (Page(source).text() or Page(source, by_name=False).text()) if source else ""
 
 
 def _extract(batches):

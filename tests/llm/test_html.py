@@ -22,6 +22,11 @@ def test_broken_pages():
     assert main_text("<p>5 < 6 and 7 > 3</p>") == "5 < 6 and 7 > 3"
 
 
+def test_names_of_classes():
+    assert main_text("<body><div class='nav-bar'>menu</div><article><div class='entry-header'><h1>Title</h1></div><p>Text here.</p><div class='post-comments'>x</div></article>") == "Title Text here."
+    assert main_text("<body><div class='widget'><p>All of the text.</p></div>") == "All of the text."
+
+
 def test_table(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>x</p>"), (3, "u", "<p>x</p>"), (None, "v", "<article>" + "<p>long text. </p>" * 5000 + "</article>")]
     from pyspark.sql import functions as F
