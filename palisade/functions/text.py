@@ -9,41 +9,43 @@ from pyspark.sql import functions as F
 LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085  ]"
 
 # Words that mark a stand-in for a secret.
-PLACEHOLDERS = ("changeme", "example", "placeholder", "dummy", "fake", "redacted", "your_api_key", "your-api-key", "xxx", "xxxx", "todo", "none", "null", "test", "secret", "password")
-PLACEHOLDER_STARTS = ("your_", "your-", "<", "${", "{{", "example", "dummy", "fake", "placeholder")
-PLACEHOLDER_INSIDE = r"(^|[^a-z0-9])(example|placeholder|dummy|fake|sample)([^a-z0-9]|$)"
+PLACEHOLDERS = ("placeholder", "example", "changeme", "your_key_here", "mysecretpassword", "dummy", "test", "fake", "null", "none", "<secret>", "your-api-key")
+PLACEHOLDER_STARTS = ("your_", "replace_", "example", "changeme", "enter_", "mock_", "dummy_")
+PLACEHOLDER_INSIDE = r"(^|[^a-z0-9_])(your|replace|example|changeme|enter|mock|dummy)([^a-z0-9_]|$)"
 
-#: Names of variables that hold secrets.
-SECRET_NAME = r"(?i)(^|[^A-Za-z0-9])[A-Za-z0-9_]*(secret|token|password|passwd|api_?key|private_?key|credential)[A-Za-z0-9_]*([^A-Za-z0-9_]|$)"
+# Fixed value: names of variables that hold secrets, between other characters than letters and digits.
+SECRET_NAME = r"(?i)(^|[^A-Za-z0-9])(secret|password|passwd|api_key|token|auth_key|private_key|deploy_key)([^A-Za-z0-9]|$)"
 
 # Shapes of known kinds of secret.
 SECRET_PATTERNS = {
-    "aws_access_key": r"AKIA[0-9A-Z]{16}",
-    "github_token": r"gh[pousr]_[A-Za-z0-9]{36}",
-    "slack_token": r"xox[baprs]-[0-9A-Za-z-]{10,}",
-    "slack_webhook": r"https://hooks\.slack\.com/services/T[A-Z0-9]+/B[A-Z0-9]+/[A-Za-z0-9]+",
-    "stripe_key": r"sk_(live|test)_[0-9A-Za-z]{16,}",
-    "openai_key": r"sk-[A-Za-z0-9]{20,}",
-    "google_api_key": r"AIza[0-9A-Za-z_-]{35}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
-    "uri_credential": r"[a-z][a-z0-9+]*://[^/ :@]+:[^/ :@]+@",
+    "AWS_KEY": r"\b(?:AKIA|ABIA|ACCA|ASIA)[0-9A-Z]{16}\b",
+    "GITHUB_TOKEN": r"\b(?:gh[pousr]_[A-Za-z0-9_]{20,255}|github_pat_[A-Za-z0-9_]{82})\b",
+    "SLACK_TOKEN": r"\bxox[baprs]-[A-Za-z0-9-]{10,120}\b",
+    "SLACK_WEBHOOK": r"https://hooks\.slack\.com/services/T[0-9A-Za-z_]{8,14}/B[0-9A-Za-z_]{8,14}/[0-9A-Za-z_]{20,36}",
+    "STRIPE_KEY": r"\b[rs]k_live_[0-9a-zA-Z]{16,99}\b",
+    "OPENAI_KEY": r"\bsk-(?!(?:learn|learning|sklearn)\b)(?:proj-|svcacct-|admin-|live-)?[A-Za-z0-9_-]{20,128}\b",
+    "GOOGLE_KEY": r"\bAIza[0-9A-Za-z_-]{30,50}\b",
+    "PRIVATE_KEY": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "JWT_TOKEN": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
+    "URI_CREDENTIAL": r"\b(?:postgres(?:ql)?|mysql|mariadb|mongodb\+srv|mongodb|redis|rediss|amqps?|mssql|sqlserver|ftps?|ssh|ldap|jdbc)://[^\s:/@]{1,64}:[^\s@]{4,128}@[^\s]{3,}",
 }
 
 # Calls that run text as code or shell, by rule.
 DANGEROUS_CALLS = {
-    "eval": r"(^|[^A-Za-z0-9_.])eval *\(",
-    "exec": r"(^|[^A-Za-z0-9_.])exec *\(",
-    "compile": r"(^|[^A-Za-z0-9_.])compile *\(",
-    "os.system": r"(^|[^A-Za-z0-9_])os\.system *\(",
-    "subprocess": r"(^|[^A-Za-z0-9_])subprocess\.[A-Za-z_]+ *\(",
-    "pickle.loads": r"(^|[^A-Za-z0-9_])pickle\.loads? *\(",
-    "yaml.load": r"(^|[^A-Za-z0-9_])yaml\.load *\(",
-    "innerHTML": r"\.innerHTML *=",
+    "eval": r"\beval\s*\(",
+    "exec": r"\bexec\s*\(",
+    "compile": r"\bcompile\s*\(",
+    "os.system": r"\bos\.system\s*\(",
+    "subprocess": r"\bsubprocess\.(?:run|call|Popen|check_output|check_call)\s*\(",
+    "pickle.loads": r"\bpickle\.loads\s*\(",
+    "yaml.load": r"\byaml\.load\s*\(",
+    "innerHTML": r"\.innerHTML\s*=",
 }
-SECRET_SINK = r"(?i)(^|[^A-Za-z0-9_])(print|log|logger\.[a-z]+|logging\.[a-z]+|console\.[a-z]+|send|write|requests\.[a-z]+) *\("
-TAINT_SOURCE = r"(^|[^A-Za-z0-9_])(input *\(|request\.[A-Za-z_]+|sys\.argv|os\.environ|location\.[a-z]+|track *\()"
-TAINT_SINK = r"(^|[^A-Za-z0-9_])(eval *\(|exec *\(|execute *\(|os\.system *\(|innerHTML|<script)"
+
+# What a secret must not reach, where tainted values come from, and what they must not reach.
+SECRET_SINK = r"logger\.(?:info|error|warn|warning|debug|critical|exception)\s*\(|logging\.(?:info|error|warn|warning|debug|critical|exception)\s*\(|console\.(?:log|warn|error|info|debug)\s*\(|print\s*\(|requests\.(?:get|post|put|delete|patch|head|request)\s*\(|urllib\.request|http\.client|fetch\s*\(|axios\.(?:get|post|put|delete)\s*\(|(?:cursor\.)?(?:execute|executemany)\s*\(|open\s*\(|subprocess\.|os\.system\s*\(|pickle\.dump|yaml\.dump"
+TAINT_SOURCE = r"request\.(?:args|form|json|data|values|get_json)|input\s*\(|sys\.argv|os\.environ|location\.(?:search|hash)|req\.(?:query|body|params)"
+TAINT_SINK = r"execute\s*\(|executemany\s*\(|subprocess\.|os\.system\s*\(|open\s*\(|\.innerHTML\s*=|eval\s*\(|exec\s*\(|pickle\.loads\s*\("
 
 
 def lines_of(text: Column) -> Column:

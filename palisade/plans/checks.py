@@ -42,7 +42,7 @@ DEFECTS = {
     "SEC-DANGEROUS-CALL": ("dangerous_call", "call_site"),
 }
 # Endings of code files, analysable or not.
-CODE_ENDINGS = ("py", "pyi", "ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "go", "rs", "java", "kt", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "swift", "scala", "sh", "pl", "lua", "r", "m", "sql", "vue")
+CODE_ENDINGS = tuple("py pyi ts tsx js jsx mjs cjs mts cts go rs java kt kts c cc cpp cxx h hpp cs rb php swift scala lua ex exs erl hrl".split())
 BUILTINS = tuple(sorted(n for n in dir(__builtins__ if not isinstance(__builtins__, dict) else __import__("builtins")) if n[0].islower()))
 
 
@@ -220,7 +220,7 @@ def deletion(c: Change) -> tuple[DataFrame, DataFrame]:
 
 def _head_lines(c: Change) -> DataFrame:
     t = c.files.where("side = 'head'").join(c.entries.where("not is_binary").select("run_id", "path"), ["run_id", "path"], "left_semi")
-    return t.select("run_id", "path", F.posexplode(text.lines_of(F.decode("content", "utf-8"))).alias("k", "line")).select("run_id", "path", (F.col("k") + 1).alias("line_no"), "line")
+    return t.select("run_id", "path", F.posexplode(text.lines_of(F.make_valid_utf8(F.col("content").cast("string")))).alias("k", "line")).select("run_id", "path", (F.col("k") + 1).alias("line_no"), "line")
 
 
 def _resolved(calls: DataFrame, c: Change) -> DataFrame:
@@ -332,15 +332,15 @@ def security(c: Change) -> tuple[DataFrame, DataFrame]:
     scanned = changed.join(allow, (F.col("run_id") == F.col("_run")) & F.expr("exists(regexes, g -> path rlike g)"), "left_anti")
     kinds = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("line", f"({rx})", 1).alias("value")) for k, rx in text.SECRET_PATTERNS.items()]), lambda x: x["value"] != "")
     known = scanned.select("run_id", "path", "line_no", "line", kinds.alias("found"))
-    each = known.select("run_id", "path", "line_no", F.explode("found").alias("x")).select("run_id", "path", "line_no", "x.*").withColumn("stand_in", text.is_placeholder(F.col("value")) | F.lower("value").rlike("example"))
+    each = known.select("run_id", "path", "line_no", F.explode("found").alias("x")).select("run_id", "path", "line_no", "x.*").withColumn("stand_in", text.is_placeholder(F.col("value")))
     value = F.btrim(F.trim(F.expr("substr(line, instr(line, '=') + 1)")), F.lit("\"'"))
     plain = known.where("size(found) = 0 and line like '%=%'").where(F.substring_index("line", "=", 1).rlike(text.SECRET_NAME)).withColumn("value", value)
     plain = plain.where((F.char_length("value") >= 16) & ~text.is_placeholder(F.col("value"))).where(text.entropy(F.col("value")) >= 3.5)
     # A token's head must be JSON that names an algorithm; other kinds are valid by their shape.
     head = F.try_to_binary(F.translate(F.substring_index("value", ".", 1), "-_", "+/"), F.lit("base64"))
     padded = F.unbase64(F.rpad(F.translate(F.substring_index("value", ".", 1), "-_", "+/"), ((F.char_length(F.substring_index("value", ".", 1)) + 3) / 4).cast("int") * 4, F.lit("=")))
-    alg = F.get_json_object(F.decode(F.coalesce(head, padded), "utf-8"), "$.alg")
-    each = each.withColumn("valid", F.when(F.col("kind") == "jwt", alg.isNotNull()).otherwise(True))
+    alg = F.get_json_object(F.try_validate_utf8(F.coalesce(head, padded).cast("string")), "$.alg")
+    each = each.withColumn("valid", F.when(F.col("kind") == "JWT_TOKEN", alg.isNotNull()).otherwise(True))
     hits = union(each.where("not stand_in and valid").select("run_id", "path", "line_no", "kind", "value"), plain.select("run_id", "path", "line_no", F.lit("high_entropy_assignment").alias("kind"), "value"))
     null = F.lit(None).cast("string")
     secret = finding(hits, "security", "SEC-SECRET", F.col("path"), F.col("kind"), F.col("line_no"), F.struct("kind", text.redact(F.col("value")).alias("redacted")), F.concat(F.lit("secret in a changed line: "), F.col("kind")))

@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.names import TEXT_SUFFIXES
+
 MAX_BYTES, MAX_DEPTH, MAX_NODES = 2 * 1024 * 1024, 128, 50_000
 #: Callees that make a file's targets unknowable.
 DYNAMIC = frozenset("getattr setattr eval exec __import__ compile".split())
@@ -260,7 +262,7 @@ def file_facts(path: str, source: bytes) -> dict:
         return python_facts(path, source)
     if ending in ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"):
         return script_facts(path, source)
-    text = ending in ("md", "txt", "rst", "json", "toml", "yaml", "yml", "cfg", "ini", "csv", "html", "css", "xml", "lock") or not ending and "/" not in path
+    text = ending in TEXT_SUFFIXES or not ending and "/" not in path
     return _empty("text" if text else "unsupported", text)
 
 

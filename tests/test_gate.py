@@ -43,7 +43,7 @@ CASES = {
     "secret_allowed": ({"c.txt": "a\n"}, {"c.txt": "a\nkey = AKIA" + "QWERTYUIOPASDFGH" + "\n"}, '[secrets]\nallowlist_paths = ["c.txt"]\n', ("security", "PASS", "COMPLETE"), set(), set()),
     "secret_unchanged": ({"c.txt": "key = AKIA" + "QWERTYUIOPASDFGH" + "\n"}, {"c.txt": "key = AKIA" + "QWERTYUIOPASDFGH" + "\nnew\n"}, "", ("security", "PASS", "COMPLETE"), set(), set()),
     "secret_flows": ({"c.py": "x = 1\n"}, {"c.py": "x = 1\napi_key = 'q8Zt4Lw0Xc7Vb2Nm'\nprint(api_key)\n"}, "", ("security", "FAIL", "COMPLETE"), {"SEC-SECRET", "SEC-SECRET-TO-SINK"}, set()),
-    "bad_jwt": ({"c.txt": ""}, {"c.txt": "v eyJabc.eyJabc.abc\n"}, "", ("security", "INCONCLUSIVE", "PARTIAL"), set(), {"secret_candidate_ambiguous"}),
+    "bad_jwt": ({"c.txt": ""}, {"c.txt": "v eyJabcdefgh.eyJabcdefgh.abcdefghi\n"}, "", ("security", "INCONCLUSIVE", "PARTIAL"), set(), {"secret_candidate_ambiguous"}),
     "taint": ({"t.py": "x = 1\n"}, {"t.py": "x = 1\ncursor.execute(request.args)\n"}, '[taint]\nsources = ["s"]\nsinks = ["t"]\n', ("security", "FAIL", "COMPLETE"), {"SEC-TAINT-TO-SINK"}, set()),
     "forbidden": ({"t.py": "x = 1\n"}, {"t.py": "x = 1\nlib.drop(x)\n"}, '[forbidden_calls.F]\nsymbols = ["lib.drop"]\n', ("security", "FAIL", "COMPLETE"), {"SEC-DANGEROUS-CALL"}, set()),
     "renamed": ({"old.txt": "same\n"}, {"new.txt": "same\n"}, "", ("security", "PASS", "COMPLETE"), set(), set()),
