@@ -18,6 +18,8 @@ import numpy as np
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
+#: Slots of a longer signature, of texts whose buckets hold several classes.
+MORE_SLOTS = 480
 #: Characters that edits add to and take from words without making other words.
 MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "…“”„‘’«»¡¿–—"
 #: Word hashes that a worker keeps.
@@ -65,13 +67,13 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def signatures(bags: list[np.ndarray]) -> np.ndarray:
-    """The signature of each bag (not empty) of shingle hashes, a row each."""
+def signatures(bags: list[np.ndarray], slots: int = SLOTS, salt: int = 0) -> np.ndarray:
+    """The signature of each bag (not empty) of shingle hashes, a row each. Another salt gives an independent one."""
     doc, seed, weight = [], [], []
     for k, bag in enumerate(bags):
         own, counts = np.unique(bag, return_counts=True)
         doc.append(np.full(len(own), k, np.int64))
-        seed.append(own)
+        seed.append(own ^ _U(salt))
         weight.append(counts)
     doc, seed, weight = np.concatenate(doc), np.concatenate(seed), np.concatenate(weight)
     # Processes: group 0 is the unit 1; group g > 0 the units 2^(g-1)+1 to 2^g.
@@ -84,19 +86,19 @@ def signatures(bags: list[np.ndarray]) -> np.ndarray:
     width = np.where(group > 0, 1 << np.maximum(group - 1, 0), 1)
     lower = np.where(group > 0, width, 0)
     time = np.zeros(len(doc))
-    sig = np.full(len(bags) * SLOTS, np.inf)
+    sig = np.full(len(bags) * slots, np.inf)
     while len(doc):
         state = state + _STEP
         r = mixed(state)
         time = time - np.log1p(-(r >> _U(11)).astype(np.float64) * 2.0**-53) / width
         r = mixed(r + _STEP)
-        slot = (r & _U(0xFFFFFFFF)) * _U(SLOTS) >> _U(32)
+        slot = (r & _U(0xFFFFFFFF)) * _U(slots) >> _U(32)
         unit = lower + 1 + ((r >> _U(32)).astype(np.int64) & (width - 1))
         hit = unit <= weight
-        np.minimum.at(sig, doc[hit] * SLOTS + slot[hit].astype(np.int64), time[hit])
-        on = time < sig.reshape(-1, SLOTS).max(1)[doc]
+        np.minimum.at(sig, doc[hit] * slots + slot[hit].astype(np.int64), time[hit])
+        on = time < sig.reshape(-1, slots).max(1)[doc]
         doc, state, time, width, lower, weight = doc[on], state[on], time[on], width[on], lower[on], weight[on]
-    return sig.reshape(-1, SLOTS)
+    return sig.reshape(-1, slots)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -111,7 +113,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def slot_nibbles(sig: np.ndarray) -> np.ndarray:
     """Four bits of each slot, sixteen slots to a number, zeros after the last: for estimates."""
     bits = mixed(np.ascontiguousarray(sig).view(np.uint64)) >> _U(60)
-    bits = np.pad(bits, ((0, 0), (0, -SLOTS % 16))).reshape(len(sig), -1, 16)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 16))).reshape(len(sig), -1, 16)
     return (bits << (np.arange(16, dtype=np.uint64) * _U(4))).sum(2, dtype=np.uint64).view(np.int64)
 
 

@@ -25,12 +25,14 @@ from palisade.llm.components import components
 
 #: Texts this similar are near duplicates.
 SIMILARITY = 0.8
-#: Pairs with fewer equal slots (of 120) are not verified: 4 standard deviations below what 0.8 gives.
-LEAST_EQUAL = 80
+#: Pairs with fewer equal slots (of 120, or of 480) are not verified: 4 standard deviations below what 0.8 gives.
+LEAST_EQUAL, LEAST_EQUAL_MORE = 80, 355
 #: Members of a bucket that all others are compared with, in a round after the first.
-PIVOTS = 64
+PIVOTS = 1024
 #: Up to so many ids are broadcast (as numbers of 8 bytes); more are joined by a shuffle.
 SENT_IDS = 1_000_000
+#: Up to so many links (16 bytes each) one task joins to classes; more take distributed rounds.
+LINKS_AT_ONCE = 250_000
 #: Words that signatures are computed of at once.
 WORDS_AT_ONCE = 300_000
 
@@ -76,6 +78,31 @@ def _bags(batches):
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(out, pa.binary())], ["node", "bag"])
 
 
+def _counted(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            nodes, own, counts = [], [], []
+            for node, b in zip(batch.column("node").slice(at, 64).to_pylist(), batch.column("bag").slice(at, 64), strict=True):
+                u, c = np.unique(np.frombuffer(b.as_py(), np.int64), return_counts=True)
+                nodes.append(np.full(len(u), node))
+                own.append(u)
+                counts.append(c.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, own, counts)], ["node", "shingle", "n"])
+
+
+def _sized(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            bags = [np.frombuffer(b.as_py(), np.uint64) for b in part.column("bag")]
+            more = bag.slot_nibbles(bag.signatures(bags, bag.MORE_SLOTS, salt=1))
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(map(len, bags), pa.int64()), pa.array(list(more), pa.list_(pa.int64()))], ["rep", "size", "more"])
+
+
 def _alike(least: float):
     def run(batches):
         import pyarrow as pa
@@ -88,11 +115,10 @@ def _alike(least: float):
     return run
 
 
-def equal_slots(a: Column, b: Column) -> Column:
+def equal_slots(a: Column, b: Column, slots: int = bag.SLOTS) -> Column:
     """Number of equal slots in two lists of packed slots."""
-    n = (bag.SLOTS + 15) // 16
-    total = F.lit(bag.SLOTS)
-    for k in range(n):
+    total = F.lit(slots)
+    for k in range((slots + 15) // 16):
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
         for s in (1, 2):
             x = x.bitwiseOR(F.shiftrightunsigned(x, s))
@@ -114,35 +140,45 @@ class NearDuplicates:
         self.signed = materialize(self.docs.mapInArrow(_sign, f"id {kind}, node long, key long, digest binary, bands array<long>, slots array<long>"), "signed")
         with_words = self.signed.where("digest is not null")
         self.texts = materialize(with_words.groupBy("digest").agg(F.min("node").alias("rep"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "texts")
-        keys = self.texts.select("rep", F.explode("bands").alias("key"))
+        keys = self.texts.select("rep", F.posexplode("bands").alias("band", "key"))
         # The first round's pivot of a bucket; by another order in each, so that a text meets several.
         heads = keys.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        self.members = materialize(keys.join(heads, "key").select("key", "rep", "pivot").distinct(), "members")
+        self.members = materialize(keys.join(heads, "key").select("key", "band", "rep", "pivot").distinct(), "members")
         self.bags = None
 
     def links(self) -> DataFrame:
         """(a, b): verified links; with what equal texts imply, they give the classes."""
-        pairs = self.members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        slots = self.texts.select(F.col("rep").alias("r"), "slots")
-        near = pairs.join(slots.select(F.col("r").alias("a"), F.col("slots").alias("sa")), "a").join(slots.select(F.col("r").alias("b"), F.col("slots").alias("sb")), "b")
-        near = near.where(equal_slots(F.col("sa"), F.col("sb")) >= LEAST_EQUAL).select("a", "b").distinct()
-        tried = materialize(near, "tried")
+        slots = self.texts.select("rep", "slots")
+        first = self.members.where("rep <> pivot").join(slots, "rep").join(slots.select(F.col("rep").alias("pivot"), F.col("slots").alias("slots_b")), "pivot")
+        near = first.where(equal_slots(F.col("slots"), F.col("slots_b")) >= LEAST_EQUAL).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+        tried = materialize(near.distinct(), "tried")
         edges = materialize(self._verified(tried), "links")
         done = materialize(self.members.where("rep = pivot").select("key", "rep"), "done")
+        facts = None
         while True:
-            labels = components(edges)
-            open_ = self.members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-            waiting = open_.join(done, ["key", "rep"], "left_anti")
+            labels = materialize(components(edges, one_task=LINKS_AT_ONCE), "labels")
+            every = self.members.select("key", "band", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+            every = every.select("key", "band", "rep", F.coalesce("component", "rep").alias("label"))
+            waiting = every.join(done, ["key", "rep"], "left_anti")
             sizes = waiting.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
             most = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("top"))
             few = waiting.join(most, "key").where("label <> top")
             place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-            pivots = materialize(few.withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", "rep", "label"), "pivots")
+            pivots = materialize(few.withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", "band", "rep", "label"), "pivots")
             if not pivots.take(1):
                 return edges
-            sided = lambda t, x: t.join(slots.select(F.col("r").alias("rep"), "slots"), "rep").select("key", F.col("rep").alias(f"rep_{x}"), F.col("label").alias(f"label_{x}"), F.col("slots").alias(f"slots_{x}"))
-            others = open_.join(pivots.select("key").distinct(), "key", "left_semi")
-            meet = sided(others, "a").alias("a").join(sided(pivots, "b").alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("label_a") != F.col("label_b")) & (equal_slots(F.col("slots_a"), F.col("slots_b")) >= LEAST_EQUAL))
+            others = every.join(pivots.select("key").distinct(), "key", "left_semi")
+            if facts is None:
+                facts = materialize(self._facts(others.select("rep").distinct()), "facts")
+            # A text whose own shingles are over a fifth of it is similar to none.
+            could = facts.where(F.col("size") - F.col("alone") >= self.similarity * F.col("size"))
+            sided = lambda t, x: t.join(could, "rep").select(*[F.col(c).alias(f"{c}_{x}") for c in ("key", "band", "rep", "label", "size", "alone", "slots", "more", "bands")])
+            c = F.col
+            shared = F.least(c("size_a") - c("alone_a"), c("size_b") - c("alone_b"))
+            possible = shared >= self.similarity * (c("size_a") + c("size_b") - shared)
+            # A pair that shares several buckets is made in the first of them.
+            before = F.exists(F.lit(list(range(bag.BANDS))), lambda j: (j < c("band_a")) & (F.get("bands_a", j) == F.get("bands_b", j)))
+            meet = sided(others, "a").join(sided(pivots, "b"), (c("key_a") == c("key_b")) & (c("label_a") != c("label_b")) & possible & (equal_slots(c("slots_a"), c("slots_b")) >= LEAST_EQUAL) & (equal_slots(c("more_a"), c("more_b"), bag.MORE_SLOTS) >= LEAST_EQUAL_MORE) & ~before)
             new = meet.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
             new = materialize(new, "tried")
             found = materialize(edges.union(self._verified(new)), "links")
@@ -152,6 +188,19 @@ class NearDuplicates:
                 release(old)
             edges, done, tried = found, now, all_tried
 
+    def _facts(self, reps: DataFrame) -> DataFrame:
+        """(rep, size, alone, slots, more, bands): a text's shingles, and how many of them no other of these texts has.
+
+        No pair can share the latter, which bounds its similarity without looking at
+        it. A longer signature tells likely pairs from others more sharply.
+        """
+        bags = self.bags.where("length(bag) > 0").join(reps.select(F.col("rep").alias("node")), "node")
+        each = bags.mapInArrow(_counted, "node long, shingle long, n int")
+        own = each.groupBy("shingle").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).where("texts = 1")
+        alone = own.groupBy("rep").agg(F.sum("n").alias("alone"))
+        sized = bags.mapInArrow(_sized, "rep long, size long, more array<long>")
+        return self.texts.select("rep", "slots", "bands").join(sized, "rep").join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         if self.bags is None:
             need = self.members.select(F.col("rep").alias("node")).distinct()
@@ -164,7 +213,7 @@ class NearDuplicates:
 
     def classes(self) -> DataFrame:
         """(id, node, key, class) of each document."""
-        labels = components(self.links())
+        labels = components(self.links(), one_task=LINKS_AT_ONCE)
         rep = self.texts.select("digest", "rep")
         known = self.signed.select("id", "node", "key", "digest").where("digest is not null").join(rep, "digest")
         known = known.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "node", "key", F.coalesce("component", "rep").alias("class"))

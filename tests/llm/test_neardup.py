@@ -98,7 +98,10 @@ def test_keep_one(spark):
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)] + [(5, 5), (7, None)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in components(table).collect()}
+    assert got == {r.node: r.component for r in components(table, one_task=1000).collect()}
+    assert got == {r.node: r.component for r in components(table, one_task=10).collect()}
     top = {}
     find = lambda x: x if top.setdefault(x, x) == x else find(top[x])
     for a, b in edges:
