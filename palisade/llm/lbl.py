@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, DIMENSIONS, CLASSES, SINGLES, NOISE, BATCH, RATE = 4, 20, 160, 72, 48, 1024, 0.1
+CONTEXT, DIMENSIONS, CLASSES, SINGLES, NOISE, BATCH, RATE = 4, 20, 160, 72, 48, 1024, 0.2
 #: Tokens that are scored at once.
-AT_ONCE = 8192
+AT_ONCE = 2048
 #: Stands for the end of a text; no word holds a blank.
 END = " "
 
@@ -99,18 +99,14 @@ class LogBilinear:
         grad = np.zeros_like(self.flat)
         a, b = k * DIMENSIONS, 2 * k * DIMENSIONS
         R, Q, bias, C = grad[:a].reshape(k, DIMENSIONS), grad[a:b].reshape(k, DIMENSIONS), grad[b : b + k], grad[b + k :].reshape(CONTEXT, DIMENSIONS)
-        one = np.zeros((n, k), np.float32)
-        place = np.arange(n)
-        one[place, target] = gt
-        Q += one.T @ r
-        np.add.at(Q, noise, gn.T @ r)
-        bias += one.sum(0)
-        np.add.at(bias, noise, gn.sum(0))
+        add = lambda rows, values: np.bincount((rows[:, None] * DIMENSIONS + np.arange(DIMENSIONS)).ravel(), values.ravel(), k * DIMENSIONS).reshape(k, DIMENSIONS)
+        Q += add(target, gt[:, None] * r)
+        Q += add(noise, gn.T @ r)
+        bias += np.bincount(target, gt, k)
+        bias += np.bincount(noise, gn.sum(0), k)
         dr = gt[:, None] * qt + gn @ qn
         for j in range(CONTEXT):
-            one.fill(0)
-            one[place, near[j]] = 1
-            sums = one.T @ dr
+            sums = add(near[j], dr)
             R += self.C[j] * sums
             C[j] += np.einsum("kd,kd->d", sums, self.R)
         grad /= n
