@@ -23,7 +23,7 @@ MORE_SLOTS = 480
 #: Characters that edits add to and take from words without making other words.
 MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "…“”„‘’«»¡¿–—"
 #: Word hashes that a worker keeps.
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 500_000
 
 _U = np.uint64
 _MIX1, _MIX2, _STEP, _POLY = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15), _U(0x5851F42D4C957F2D)
@@ -47,6 +47,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+forget_words = _HASHES.clear
 
 
 def word_hashes(text: str) -> np.ndarray:

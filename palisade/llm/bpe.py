@@ -17,10 +17,12 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import text_of
+from palisade.llm.common import sole_cache, text_of
 
 #: Words whose encodings a worker keeps; it starts over beyond this.
 KEEP_WORDS = 1_000_000
+#: Pairs of tokens whose border it has looked at.
+KEEP_PAIRS = 300_000
 #: Documents that are worked on at once.
 SLICE = 1024
 
@@ -127,7 +129,7 @@ class TrieBPE:
                 at -= size[at]
             self.known[word] = pack(out[::-1])
             before = raw
-        if len(meets) > KEEP_WORDS:
+        if len(meets) > KEEP_PAIRS:
             meets.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -168,6 +170,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches):
         coder = loaded(path, pattern)
+        sole_cache("bpe", lambda: (coder.known.clear(), coder.meets.clear()))
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)

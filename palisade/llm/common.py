@@ -16,6 +16,20 @@ BLANK = " \t\n\x0b\x0c\r"
 _MADE: list[tuple[SparkSession, str]] = []
 
 
+#: In a worker process: the operator whose cache is filled, and how to empty it.
+_FILLED: dict = {}
+
+
+def sole_cache(name: str, empty) -> None:
+    """Empty the caches of other operators in this worker process, so that one at most is filled.
+
+    Workers outlive stages; what several operators keep would add up.
+    """
+    for other in [k for k in _FILLED if k != name]:
+        _FILLED.pop(other)()
+    _FILLED[name] = empty
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is named."""
     at = spark.conf.get("spark.checkpoint.dir", None)

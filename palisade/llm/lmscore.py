@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import materialize, text_of
+from palisade.llm.common import materialize, sole_cache, text_of
 from palisade.llm.lbl import BATCH, END, LogBilinear, Vocabulary, contexts
 
 #: At most so many words are frequent: the part of the counts that is broadcast (64 bytes a word at most).
@@ -31,6 +31,7 @@ def _once(shared):
         _LOADED.clear()
         vocabulary = Vocabulary(words, counts, total, types)
         _LOADED[key] = vocabulary, flat
+    sole_cache("lm", _LOADED.clear)
     vocabulary, flat = _LOADED[key]
     return vocabulary, LogBilinear(vocabulary.prior, flat)
 

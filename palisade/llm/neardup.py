@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palisade.llm import bagminhash as bag
-from palisade.llm.common import materialize, release, text_of, without
+from palisade.llm.common import materialize, release, sole_cache, text_of, without
 from palisade.llm.components import components
 
 #: Texts this similar are near duplicates.
@@ -50,6 +50,7 @@ def _sign(batches):
         lists = lambda x: pa.array([x[place[k]] if k in place else None for k in range(len(bags))], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(ids, ids_type), pa.array(nodes, pa.int64()), pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), lists(bands), lists(nibbles)], ["id", "node", "key", "digest", "bands", "slots"])
 
+    sole_cache("words", bag.forget_words)
     for batch in batches:
         ids_type = batch.column("id").type
         ids, nodes, keys, bags, digests, n = [], [], [], [], [], 0
@@ -71,6 +72,7 @@ def _sign(batches):
 def _bags(batches):
     import pyarrow as pa
 
+    sole_cache("words", bag.forget_words)
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)

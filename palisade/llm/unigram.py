@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import text_of
+from palisade.llm.common import sole_cache, text_of
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -101,6 +101,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if path not in _LOADED:
             _LOADED[path] = UnigramCounter(vocabulary(path))
         counter = _LOADED[path]
+        sole_cache("unigram", counter.known.clear)
         for batch in batches:
             n = [counter.count(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64())], ["id", "n_tokens"])
