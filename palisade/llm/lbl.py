@@ -1,17 +1,27 @@
-"""A log-bilinear language model of word classes, trained with noise contrast in numpy.
-
-The probability of a token is that of its class after the classes of the tokens
-before it, times its share of the class. A class is one frequent word, a group of
-less frequent words of like shape, or all words beyond the frequent ones. The
-context's vector is the sum of its classes' vectors, weighed by place and
-dimension; a class's score is its product with the class's own vector, plus a bias.
+"""A log-bilinear language model of words, trained with noise contrast in numpy.
+
+Every frequent word has a context vector, a vector and a bias of its own; all words
+beyond the frequent ones share one row, the tail. The context's vector is the sum of
+its words' vectors and their classes', weighed by place and dimension. The
+probability of a word is that of its class after the context, times that of the word
+among its class's words after the same context; both are normalised exactly. A class
+is one of the most frequent words, or words of like shape and frequency; the number
+of classes grows with the square root of the words'.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, DIMENSIONS, CLASSES, SINGLES, NOISE, BATCH, RATE = 4, 20, 160, 72, 48, 1024, 0.2
+CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 20, 48, 1024, 0.2
+#: Groups of words by shape, the most frequent words included; so many times the root of the words is how many pieces they fall into beside.
+GROUPS, BY_ROOT = 160, 0.6
+#: Most frequent words that are always classes of their own.
+SINGLES = 72
+#: Other words of the class that a target is told apart from in a step.
+RIVALS = 2
+#: Where the sums of squared gradients begin: of classes and places, and of words, which a step meets seldom.
+SQUARES, WORD_SQUARES = 1e-3, 1e-5
 #: Tokens that are scored at once.
 AT_ONCE = 2048
 #: Stands for the end of a text; no word holds a blank.
@@ -24,6 +34,16 @@ def shape_of(word: str) -> str:
     return core[:2] + "\t" + word[len(core) :][:2]
 
 
+class Rows:
+    """The words' rows, those of a class together: the prior of each, and where each class begins, with their number at the end."""
+
+    def __init__(self, prior: np.ndarray, bounds: np.ndarray):
+        self.prior, self.bounds = prior, bounds
+
+    def __len__(self) -> int:
+        return len(self.prior)
+
+
 class Vocabulary:
     """Frequent words with their counts, and what is known of the others together.
 
@@ -36,21 +56,16 @@ class Vocabulary:
         self.all = total + 0.5 * (types + 1)
         mass = counts + 0.5
         self.rest = self.all - mass.sum() if len(words) else self.all  # the half of the unknown included
-        singles = min(SINGLES, len(words))
-        shapes: dict[str, float] = {}
-        for w, m in zip(words[singles:], mass[singles:], strict=True):
-            s = shape_of(w)
-            shapes[s] = shapes.get(s, 0.0) + m
-        ranked = sorted(shapes, key=lambda s: (-shapes[s], s))[: CLASSES - singles - 2]
-        place = {s: singles + i for i, s in enumerate(ranked)}
-        other = singles + len(ranked)
-        self.tail = other + 1
-        self.class_of = np.array([i if i < singles else place.get(shape_of(w), other) for i, w in enumerate(words)] + [self.tail], np.int32)
-        by_class = np.bincount(self.class_of[:-1], weights=mass, minlength=self.tail + 1)
-        by_class[self.tail] = self.rest
-        self.prior = np.maximum(by_class, 1e-3) / np.maximum(by_class, 1e-3).sum()
+        self.tail = len(words)
+        each = np.maximum(np.append(mass, self.rest), 1e-3)
+        each /= each.sum()
+        of = _classes(words, each)
+        order = np.argsort(of, kind="stable")
+        self.class_of = np.empty(len(of), np.int32)
+        self.class_of[order] = np.arange(len(of))
+        self.prior = Rows(each[order], np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of)))
         self.base = np.append(np.log10(mass / self.all), 0.0)
-        self.share = np.append(np.log10(mass / by_class[self.class_of[:-1]]), 0.0)
+        self.share = np.zeros(self.tail + 1)
         self.known = np.append(counts > 0, False)
         self.end = self.ids.get(END.encode(), len(words))
 
@@ -63,67 +78,159 @@ class Vocabulary:
         return tokens, np.append(ids, np.int32(self.end))
 
 
+def _classes(words: list[str], prior: np.ndarray) -> np.ndarray:
+    """The class of each word, most frequent words first, and of the tail, which is a class."""
+    singles = min(SINGLES, len(words))
+    shapes: dict[str, float] = {}
+    named = [shape_of(w) for w in words[singles:]]
+    for s, m in zip(named, prior[singles:-1], strict=True):
+        shapes[s] = shapes.get(s, 0.0) + m
+    ranked = sorted(shapes, key=lambda s: (-shapes[s], s))[: GROUPS - singles - 2]
+    place = {s: singles + i for i, s in enumerate(ranked)}
+    other = singles + len(ranked)
+    group = np.array([*range(singles), *(place.get(s, other) for s in named), other + 1])
+    # Groups fall into pieces of like sums of roots, which keep both the pieces of frequent words and the number of pieces small.
+    root = np.sqrt(prior)
+    root[:singles] = root[-1] = 0
+    piece = max(root.sum(), 1e-30) / max(1, BY_ROOT * len(prior) ** 0.5 - GROUPS / 4)
+    order = np.argsort(group, kind="stable")
+    before = np.cumsum(root[order]) - root[order]
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    within = before - np.repeat(before[first], np.diff(np.append(first, len(order))))
+    new = np.flatnonzero((np.diff(group[order], prepend=-1) != 0) | (np.diff((within / piece).astype(int), prepend=0) != 0))
+    of = np.empty(len(order), int)
+    of[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    return of
+
+
+def _add_up(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sums of their values."""
+    found, at = np.unique(rows, return_inverse=True)
+    width = values.shape[1]
+    places = (at[:, None] * width + np.arange(width)).ravel()
+    return found, np.bincount(places, values.ravel(), len(found) * width).reshape(-1, width).astype(np.float32)
+
+
 class LogBilinear:
-    """Parameters: context vectors R, class vectors Q, biases b, place weights C."""
-
-    def __init__(self, prior: np.ndarray, flat: np.ndarray | None = None):
-        k, self.log_prior = len(prior), np.log(prior).astype(np.float32)
-        self.prior = prior
-        rng = np.random.default_rng(7)
-        if flat is None:
-            parts = (rng.normal(0, 0.3, (k, DIMENSIONS)), rng.normal(0, 0.3, (k, DIMENSIONS)), self.log_prior[:, None], np.ones((CONTEXT, DIMENSIONS)) / np.arange(1, CONTEXT + 1)[:, None])
-            flat = np.concatenate([p.ravel() for p in parts])
-        self.flat = flat.astype(np.float32)
-        a, b = k * DIMENSIONS, 2 * k * DIMENSIONS
-        self.R, self.Q = self.flat[:a].reshape(k, DIMENSIONS), self.flat[a:b].reshape(k, DIMENSIONS)
-        self.b, self.C = self.flat[b : b + k], self.flat[b + k :].reshape(CONTEXT, DIMENSIONS)
-        self.squares = np.full(len(self.flat), 1e-3, np.float32)
+    """Parameters: context vectors R and vectors W of words, S and P of classes, place weights C; W and P end with the bias."""
+
+    def __init__(self, rows: Rows, tables: list[np.ndarray] | None = None):
+        prior, self.bounds = rows.prior, rows.bounds
+        n, k = len(prior), len(self.bounds) - 1
+        sizes = np.diff(self.bounds)
+        self.of = np.repeat(np.arange(k, dtype=np.int32), sizes)
+        by_class = np.add.reduceat(prior, self.bounds[:-1])
+        self.by_class, self.log_class = np.cumsum(by_class), np.log(by_class).astype(np.float32)
+        self.log_share = np.log(prior / by_class[self.of]).astype(np.float32)
+        self.alone = (sizes == 1)[self.of]
+        self.sums = np.concatenate([[0.0], np.cumsum(prior)])
+        if tables is None:
+            rng = np.random.default_rng(7)
+            S = rng.normal(0, 0.3, (k, DIMENSIONS))
+            W = np.column_stack([np.zeros((n, DIMENSIONS)), self.log_share])
+            P = np.column_stack([rng.normal(0, 0.3, (k, DIMENSIONS)), self.log_class])
+            tables = [np.zeros((n, DIMENSIONS)), W, P, np.ones((CONTEXT, DIMENSIONS)) / np.arange(1, CONTEXT + 1)[:, None], S]
+        self.tables = [t.astype(np.float32) for t in tables]
+        self.R, self.W, self.P, self.C, self.S = self.tables
+        self.squares: list[np.ndarray] | None = None
+        self.met: list[np.ndarray] | None = None
+
+    def _vectors(self, rows: np.ndarray) -> np.ndarray:
+        return self.R[rows] + self.S[self.of[rows]]
 
     def _context(self, near: np.ndarray) -> np.ndarray:
-        r = self.C[0] * self.R[near[0]]
+        """With a one at the end, which meets the bias."""
+        r = np.ones((near.shape[1], DIMENSIONS + 1), np.float32)
+        r[:, :-1] = self.C[0] * self._vectors(near[0])
         for j in range(1, CONTEXT):
-            r += self.C[j] * self.R[near[j]]
+            r[:, :-1] += self.C[j] * self._vectors(near[j])
         return r
 
+    def _move(self, table: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        squares = self.squares[table]
+        at = squares[rows] + grad * grad
+        squares[rows] = at
+        self.tables[table][rows] += RATE * grad / np.sqrt(at)
+
+    def _meet(self, table: int, rows: np.ndarray) -> None:
+        found, n = np.unique(rows, return_counts=True)
+        self.met[table][found] += n
+
     def learn(self, near: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-        """One step of noise-contrastive estimation; noise is drawn from the prior and shared by the batch."""
-        n, k = len(target), len(self.b)
-        noise = np.searchsorted(np.cumsum(self.prior), rng.random(NOISE) * (1 - 1e-9))
+        """One step of noise-contrastive estimation of classes, and of words among their class's.
+
+        Noise classes are drawn from all and shared by the batch; a word's rivals are drawn from its class.
+        """
+        if self.squares is None:
+            self.squares = [np.full_like(t, s) for t, s in zip(self.tables, (WORD_SQUARES, WORD_SQUARES, SQUARES, SQUARES, SQUARES), strict=True)]
+            self.met = [np.zeros(len(t), np.float32) for t in self.tables]
+        n, c = len(target), self.of[target]
+        noise = np.searchsorted(self.by_class, rng.random(NOISE) * (1 - 1e-9))
         r = self._context(near)
-        qt, qn = self.Q[target], self.Q[noise]
+        pt, pn = self.P[c], self.P[noise]
         log_k = np.float32(np.log(NOISE))
-        st = np.einsum("nd,nd->n", r, qt) + self.b[target] - log_k - self.log_prior[target]
-        sn = r @ qn.T + (self.b[noise] - log_k - self.log_prior[noise])
+        st = np.einsum("nd,nd->n", r, pt) - log_k - self.log_class[c]
+        sn = r @ pn.T - (log_k + self.log_class[noise])
         gt = 1 / (1 + np.exp(np.clip(st, -30, 30)))
         gn = -1 / (1 + np.exp(np.clip(-sn, -30, 30)))
-        grad = np.zeros_like(self.flat)
-        a, b = k * DIMENSIONS, 2 * k * DIMENSIONS
-        R, Q, bias, C = grad[:a].reshape(k, DIMENSIONS), grad[a:b].reshape(k, DIMENSIONS), grad[b : b + k], grad[b + k :].reshape(CONTEXT, DIMENSIONS)
-        add = lambda rows, values: np.bincount((rows[:, None] * DIMENSIONS + np.arange(DIMENSIONS)).ravel(), values.ravel(), k * DIMENSIONS).reshape(k, DIMENSIONS)
-        Q += add(target, gt[:, None] * r)
-        Q += add(noise, gn.T @ r)
-        bias += np.bincount(target, gt, k)
-        bias += np.bincount(noise, gn.sum(0), k)
-        dr = gt[:, None] * qt + gn @ qn
-        for j in range(CONTEXT):
-            sums = add(near[j], dr)
-            R += self.C[j] * sums
-            C[j] += np.einsum("kd,kd->d", sums, self.R)
-        grad /= n
-        self.squares += grad * grad
-        self.flat += RATE * grad / np.sqrt(self.squares)
+        dr = gt[:, None] * pt + gn @ pn
+        rows, grad = _add_up(np.concatenate([c, noise]), np.concatenate([gt[:, None] * r, gn.T @ r]))
+        self._move(2, rows, grad / n)
+        self._meet(2, np.concatenate([c, noise]))
+
+        among = np.flatnonzero(~self.alone[target])
+        if len(among):
+            w, ra = target[among], r[among]
+            low, high = self.bounds[c[among]], self.bounds[c[among] + 1]
+            drawn = self.sums[low] + rng.random((RIVALS, len(w))) * (self.sums[high] - self.sums[low])
+            rivals = np.clip(np.searchsorted(self.sums, drawn, "right") - 1, low, high - 1)
+            every = np.concatenate([w[None], rivals])
+            W = self.W[every]
+            s = np.einsum("nd,knd->kn", ra, W) - self.log_share[every] - np.float32(np.log(RIVALS))
+            g = -1 / (1 + np.exp(np.clip(-s, -30, 30)))
+            g[0] += 1
+            dr[among] += np.einsum("kn,knd->nd", g, W)
+            rows, grad = _add_up(every.ravel(), (g[:, :, None] * ra).reshape(-1, DIMENSIONS + 1))
+            self._move(1, rows, grad / n)
+            self._meet(1, every.ravel())
+        dr = dr[:, :-1]
+        moved = np.stack([np.einsum("nd,nd->d", dr, self._vectors(near[j])) for j in range(CONTEXT)])
+        near, dr = near.ravel(), (self.C[:, None, :] * dr).reshape(-1, DIMENSIONS)
+        rows, grad = _add_up(self.of[near], dr)
+        self._move(4, rows, grad / n)
+        self._meet(4, self.of[near])
+        among = np.flatnonzero(~self.alone[near])
+        if len(among):
+            rows, grad = _add_up(near[among], dr[among])
+            self._move(0, rows, grad / n)
+            self._meet(0, near[among])
+        self._move(3, np.arange(CONTEXT), moved / n)
+        self.met[3] += n
 
     def log10(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 of the normalised probabilities of target classes."""
-        out = np.empty(len(target))
-        for at in range(0, len(target), AT_ONCE):
-            part = slice(at, at + AT_ONCE)
-            s = self._context(near[:, part]) @ self.Q.T
-            s += self.b
+        """log10 of the normalised probabilities of target words."""
+        out = np.zeros(len(target))
+        contexts = np.empty((len(target), DIMENSIONS + 1), np.float32)
+        c = self.of[target]
+
+        def normalised(r, vectors, chosen):
+            s = r @ vectors.T
             s -= s.max(1, keepdims=True)
-            chosen = s[np.arange(len(s)), target[part]].astype(np.float64)
+            own = s[np.arange(len(s)), chosen].astype(np.float64)
             np.exp(s, out=s)
-            out[part] = (chosen - np.log(s.sum(1, dtype=np.float64))) / np.log(10)
+            return (own - np.log(s.sum(1, dtype=np.float64))) / np.log(10)
+
+        for at in range(0, len(target), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            contexts[part] = self._context(near[:, part])
+            out[part] = normalised(contexts[part], self.P, c[part])
+        among = np.flatnonzero(~self.alone[target])
+        among = among[np.argsort(c[among], kind="stable")]
+        for run in np.split(among, np.flatnonzero(np.diff(c[among])) + 1):
+            for at in range(0, len(run), AT_ONCE):
+                some = run[at : at + AT_ONCE]
+                low, high = self.bounds[c[some[0]]], self.bounds[c[some[0]] + 1]
+                out[some] += normalised(contexts[some], self.W[low:high], target[some] - low)
         return out
 
 

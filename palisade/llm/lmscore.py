@@ -18,22 +18,22 @@ FREQUENT, FREQUENT_CHARS = 262_144, 16
 COUNT_AT_ONCE = 200_000
 #: Words that are scored, or learned from, at once.
 WORDS_AT_ONCE = 65_536
-#: Tasks that add up the trained parameters; each sends one set to the driver.
-ADDERS = 16
+#: Tasks that add up the trained parameters, and rows of a table that stay together; the driver gets one set in all.
+ADDERS, BLOCK = 16, 4096
 
 _LOADED: dict = {}
 
 
 def _once(shared):
     """The vocabulary and model that a broadcast describes, made once in each worker process."""
-    key, words, counts, total, types, flat = shared.value
+    key, words, counts, total, types, tables = shared.value
     if key not in _LOADED:
         _LOADED.clear()
         vocabulary = Vocabulary(words, counts, total, types)
-        _LOADED[key] = vocabulary, flat
+        _LOADED[key] = vocabulary, tables
     sole_cache("lm", _LOADED.clear)
-    vocabulary, flat = _LOADED[key]
-    return vocabulary, LogBilinear(vocabulary.prior, flat)
+    vocabulary, tables = _LOADED[key]
+    return vocabulary, LogBilinear(vocabulary.prior, tables)
 
 
 def _count(batches):
@@ -61,7 +61,7 @@ def _learn(shared):
         vocabulary, model = _once(shared)
         part = TaskContext.get()
         rng = np.random.default_rng(part.partitionId() if part else 0)
-        start, seen, classes, n = model.flat.copy(), 0, [], 0
+        start, classes, n = [t.copy() for t in model.tables], [], 0
 
         def step():
             near, target = contexts(classes, vocabulary.class_of[vocabulary.end])
@@ -69,33 +69,55 @@ def _learn(shared):
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]
                 model.learn(near[:, pick], target[pick], rng)
-            return len(target)
 
         for batch in batches:
             for text in batch.column("text"):
                 classes.append(vocabulary.class_of[vocabulary.encode(text.as_py().encode())[1]])
                 n += len(classes[-1])
                 if n >= WORDS_AT_ONCE:
-                    seen += step()
+                    step()
                     classes, n = [], 0
         if classes:
-            seen += step()
-        moved = (model.flat - start).astype(np.float64) * seen
-        yield pa.RecordBatch.from_arrays([pa.array([moved.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["moved", "seen"])
+            step()
+        for table, (before, after) in enumerate(zip(start, model.tables, strict=True)):
+            met = model.met[table] if model.met else np.zeros(0, np.float32)
+            rows = np.flatnonzero(met).astype(np.int32)
+            for block in np.split(rows, np.flatnonzero(np.diff(rows // BLOCK)) + 1):
+                if len(block):
+                    yield _moves([(table, int(block[0]) // BLOCK, block, met[block], (after[block] - before[block]) * met[block, None])])
 
     return run
 
 
-def _add(batches):
+MOVES = "t int, block int, rows binary, met binary, moved binary"
+
+
+def _moves(found):
     import pyarrow as pa
 
-    moved, seen = None, 0
+    cols = zip(*[(t, b, rows.tobytes(), met.tobytes(), moved.astype(np.float32).tobytes()) for t, b, rows, met, moved in found], strict=True)
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["t", "block", "rows", "met", "moved"])
+
+
+def _unpacked(rows: bytes, met: bytes, moved: bytes):
+    rows = np.frombuffer(rows, np.int32)
+    return rows, np.frombuffer(met, np.float32), np.frombuffer(moved, np.float32).reshape(len(rows), -1)
+
+
+def _add(batches):
+    sums: dict = {}
     for batch in batches:
-        for m, n in zip(batch.column("moved"), batch.column("seen").to_pylist(), strict=True):
-            m = np.frombuffer(m.as_py(), np.float64)
-            moved, seen = m if moved is None else moved + m, seen + n
-    if moved is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([moved.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["moved", "seen"])
+        for t, block, *packed in zip(*[batch.column(c).to_pylist() for c in ("t", "block", "rows", "met", "moved")], strict=True):
+            rows, met, moved = _unpacked(*packed)
+            if (t, block) not in sums:
+                sums[t, block] = np.zeros(BLOCK, np.float32), np.zeros((BLOCK, moved.shape[1]), np.float32)
+            n, total = sums[t, block]
+            n[rows - block * BLOCK] += met
+            total[rows - block * BLOCK] += moved
+    for (t, block), (n, total) in sums.items():
+        rows = np.flatnonzero(n).astype(np.int32)
+        yield _moves([(t, block, rows + np.int32(block * BLOCK), n[rows], total[rows])])
 
 
 DOC = "held_out boolean, n_tokens long, n_known long, base double, lm double, n_tail long, tails array<struct<word:string,n:int>>"
@@ -148,7 +170,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents whose crc32 of the id as text leaves the remainder ``fold`` are held
     out; a null id counts as an empty text. All others are counted, whole, and the
     model learns from all of them: each task learns from its documents, from the
-    same start, and the tasks' changes are averaged by tokens. base_score is the
+    same start, and each row's changes are averaged by how often a task met it. base_score is the
     smoothed unigram's, score the model's; both are log10 of a text's probability.
     Null and empty texts hold the end alone. Repeated rows each count and each give a row.
     An empty table gives an empty result.
@@ -179,17 +201,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is_frequent = (step >= least) & ~long_word if least is not None else F.lit(False)
     frequent = sorted(((r.word, r.n) for r in counts.where(is_frequent).collect()), key=lambda x: (-x[1], x[0]))
     words, numbers = [w for w, _ in frequent], np.array([n for _, n in frequent], np.float64)
-    share = lambda flat: spark.sparkContext.broadcast((uuid.uuid4().hex, words, numbers, total, types, flat))
+    share = lambda tables: spark.sparkContext.broadcast((uuid.uuid4().hex, words, numbers, total, types, tables))
 
     vocabulary = Vocabulary(words, numbers, total, types)
     model = LogBilinear(vocabulary.prior)
-    changes = train.mapInArrow(_learn(share(None)), "moved binary, seen long")
-    changes = changes.repartition(ADDERS).mapInArrow(_add, "moved binary, seen long").collect()
-    seen = sum(r.seen for r in changes)
-    flat = model.flat + (sum(np.frombuffer(r.moved, np.float64) for r in changes) / seen).astype(np.float32) if seen else model.flat
+    changes = train.mapInArrow(_learn(share(None)), MOVES)
+    for r in changes.repartition(ADDERS, "t", "block").mapInArrow(_add, MOVES).toLocalIterator():
+        rows, met, moved = _unpacked(r.rows, r.met, r.moved)
+        model.tables[r.t][rows] += moved / met[:, None]
 
     kind = take.schema["id"].dataType.simpleString()
-    scored = take.mapInArrow(_score(share(flat)), f"id {kind}, {DOC}").withColumn("row", F.monotonically_increasing_id())
+    scored = take.mapInArrow(_score(share(model.tables)), f"id {kind}, {DOC}").withColumn("row", F.monotonically_increasing_id())
     scored = materialize(scored, "scored")
     each = scored.select("row", F.explode("tails").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
     rare = counts.where(~is_frequent).select(F.col("word").alias("w"), F.col("n").alias("c"))

@@ -61,6 +61,25 @@ def test_probabilities_sum_to_one():
     assert np.allclose(shares[used], 1) and target[-1] == vocabulary.class_of[vocabulary.end]
 
 
+def test_context_tells_every_frequent_word_apart():
+    """Words alike in count and shape have rows of their own, however many they are."""
+    words = [f"w{k}" for k in range(3000)] + [" "]
+    vocabulary = Vocabulary(words, np.full(len(words), 9.0), 9 * len(words), len(words))
+    model = LogBilinear(vocabulary.prior)
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        pairs = rng.integers(0, 2, 200)
+        near, target = contexts([vocabulary.class_of[vocabulary.encode(b"w1000 w2000" if p else b"w1001 w2001")[1]] for p in pairs], vocabulary.class_of[vocabulary.end])
+        model.learn(near, target, rng)
+    texts = [b"w1000 w2000", b"w1000 w2001"]
+    encoded = [vocabulary.encode(t)[1] for t in texts]
+    near, target = contexts([vocabulary.class_of[e] for e in encoded], vocabulary.class_of[vocabulary.end])
+    seen, unseen = (model.log10(near, target) + vocabulary.share[np.concatenate(encoded)]).reshape(2, 3)[:, 1]
+    assert seen > unseen + 0.2 and seen > -1
+    every = model.log10(np.repeat(near[:, 1:2], len(words) + 1, 1), np.arange(len(words) + 1))
+    assert len(model.bounds) < len(words) and abs((10**every).sum() - 1) < 1e-4
+
+
 def test_empty_table(spark):
     assert score_documents(docs(spark, [])).collect() == []
     only = score_documents(docs(spark, [(1, "all held out")])).collect()
