@@ -40,3 +40,11 @@ def test_results_do_not_depend_on_partitions(spark):
             seen.append(Counter(map(tuple, catalogue.QUERIES[name](spark, SF).collect())))
         assert seen[0] == seen[1]
     spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_bootstrap_takes_the_references_resamples(spark):
+    from palisade.functions import stats
+
+    events = spark.read.parquet(f"{SF}/events.parquet").groupBy("event_type")
+    whole = {r.event_type: r.x for r in events.agg(stats.bootstrap_ci(0.5, 1000)("value").alias("x")).collect()}
+    assert {r.event_type: r.interval for r in catalogue.QUERIES["q53_bootstrap_ci"](spark, SF).collect()} == whole
