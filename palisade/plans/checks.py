@@ -330,18 +330,19 @@ def security(c: Change) -> tuple[DataFrame, DataFrame]:
     changed = lines.join(c.changed_lines.withColumnRenamed("line", "line_no"), ["run_id", "path", "line_no"], "left_semi")
     changed = settle(changed)
     scanned = changed.join(allow, (F.col("run_id") == F.col("_run")) & F.expr("exists(regexes, g -> path rlike g)"), "left_anti")
-    kinds = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("line", f"({rx})", 1).alias("value")) for k, rx in text.SECRET_PATTERNS.items()]), lambda x: x["value"] != "")
-    known = scanned.select("run_id", "path", "line_no", "line", kinds.alias("found"))
-    each = known.select("run_id", "path", "line_no", F.explode("found").alias("x")).select("run_id", "path", "line_no", "x.*").withColumn("stand_in", text.is_placeholder(F.col("value")))
-    value = F.btrim(F.trim(F.expr("substr(line, instr(line, '=') + 1)")), F.lit("\"'"))
-    plain = known.where("size(found) = 0 and line like '%=%'").where(F.substring_index("line", "=", 1).rlike(text.SECRET_NAME)).withColumn("value", value)
-    plain = plain.where((F.char_length("value") >= 16) & ~text.is_placeholder(F.col("value"))).where(text.entropy(F.col("value")) >= 3.5)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("line", F.lit(f"({rx})"), 1).alias("values")) for k, rx in text.SECRET_PATTERNS.items()])
+    each = scanned.select("run_id", "path", "line_no", F.explode(kinds).alias("x")).select("run_id", "path", "line_no", "x.kind", F.posexplode("x.values").alias("at", "value")).withColumn("stand_in", text.is_placeholder(F.col("value")))
     # A token's head must be JSON that names an algorithm; other kinds are valid by their shape.
     head = F.try_to_binary(F.translate(F.substring_index("value", ".", 1), "-_", "+/"), F.lit("base64"))
-    padded = F.unbase64(F.rpad(F.translate(F.substring_index("value", ".", 1), "-_", "+/"), ((F.char_length(F.substring_index("value", ".", 1)) + 3) / 4).cast("int") * 4, F.lit("=")))
+    padded = F.try_to_binary(F.rpad(F.translate(F.substring_index("value", ".", 1), "-_", "+/"), ((F.char_length(F.substring_index("value", ".", 1)) + 3) / 4).cast("int") * 4, F.lit("=")), F.lit("base64"))
     alg = F.get_json_object(F.try_validate_utf8(F.coalesce(head, padded).cast("string")), "$.alg")
     each = each.withColumn("valid", F.when(F.col("kind") == "JWT_TOKEN", alg.isNotNull()).otherwise(True))
-    hits = union(each.where("not stand_in and valid").select("run_id", "path", "line_no", "kind", "value"), plain.select("run_id", "path", "line_no", F.lit("high_entropy_assignment").alias("kind"), "value"))
+    # Every match is judged; the first good one of a kind stands for its line.
+    known = each.where("not stand_in and valid").groupBy("run_id", "path", "line_no", "kind").agg(F.min_by("value", "at").alias("value"))
+    value = F.btrim(F.trim(F.expr("substr(line, instr(line, '=') + 1)")), F.lit("\"'"))
+    plain = scanned.where("line like '%=%'").join(known, ["run_id", "path", "line_no"], "left_anti").where(F.substring_index("line", "=", 1).rlike(text.SECRET_NAME)).withColumn("value", value)
+    plain = plain.where((F.char_length("value") >= 16) & ~text.is_placeholder(F.col("value"))).where(text.entropy(F.col("value")) >= 3.5)
+    hits = union(known, plain.select("run_id", "path", "line_no", F.lit("high_entropy_assignment").alias("kind"), "value"))
     null = F.lit(None).cast("string")
     secret = finding(hits, "security", "SEC-SECRET", F.col("path"), F.col("kind"), F.col("line_no"), F.struct("kind", text.redact(F.col("value")).alias("redacted")), F.concat(F.lit("secret in a changed line: "), F.col("kind")))
     named = hits.select("run_id", "path", "line_no", "kind").join(lines, ["run_id", "path", "line_no"]).withColumn("name", text.assignment_name(F.col("line")))

@@ -46,6 +46,8 @@ CASES = {
     "bad_jwt": ({"c.txt": ""}, {"c.txt": "v eyJabcdefgh.eyJabcdefgh.abcdefghi\n"}, "", ("security", "INCONCLUSIVE", "PARTIAL"), set(), {"secret_candidate_ambiguous"}),
     "taint": ({"t.py": "x = 1\n"}, {"t.py": "x = 1\ncursor.execute(request.args)\n"}, '[taint]\nsources = ["s"]\nsinks = ["t"]\n', ("security", "FAIL", "COMPLETE"), {"SEC-TAINT-TO-SINK"}, set()),
     "forbidden": ({"t.py": "x = 1\n"}, {"t.py": "x = 1\nlib.drop(x)\n"}, '[forbidden_calls.F]\nsymbols = ["lib.drop"]\n', ("security", "FAIL", "COMPLETE"), {"SEC-DANGEROUS-CALL"}, set()),
+    "secret_after_stand_in": ({"c.txt": "a\n"}, {"c.txt": "a\nu postgres://u:example" + "@h.io/d postgres://app:q8Zt4Lw0" + "@db.corp.io/x\n"}, "", ("security", "FAIL", "COMPLETE"), {"SEC-SECRET"}, set()),
+    "assigned_bad_jwt": ({"c.txt": "a\n"}, {"c.txt": "a\ntoken = eyJabcdefghij.eyJklmnopqrst.uvwxyzqkpw\n"}, "", ("security", "FAIL", None), {"SEC-SECRET"}, {"secret_candidate_ambiguous"}),
     "renamed": ({"old.txt": "same\n"}, {"new.txt": "same\n"}, "", ("security", "PASS", "COMPLETE"), set(), set()),
 }
 
