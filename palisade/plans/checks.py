@@ -323,6 +323,28 @@ def contract(c: Change) -> tuple[DataFrame, DataFrame]:
     return union(by_signature, by_call, by_export, by_change), gaps
 
 
+def _in_python() -> Column:
+    return F.endswith("path", F.lit(".py"))
+
+
+def _bound(c: Change) -> DataFrame:
+    """(run_id, path, local, target): what the names mean that a Python file's imports bind; the last import decides."""
+    a = c.imports("head").where(_in_python()).select("run_id", "path", "imp_no", "module", F.posexplode("aliases").alias("alias_no", "a")).select("run_id", "path", "imp_no", "alias_no", "module", "a.*")
+    # An imported module has its own name for an origin; without another name for it nothing is bound anew.
+    whole = F.col("orig") == F.col("module")
+    a = a.where(~(whole & (F.col("local") == F.col("orig"))) & F.col("local").rlike(r"^\w+$"))
+    target = F.when(whole | (F.col("module") == ""), F.col("orig")).otherwise(F.concat_ws(".", "module", "orig"))
+    return a.groupBy("run_id", "path", "local").agg(F.max_by(target, F.struct("imp_no", "alias_no")).alias("target"))
+
+
+def _sinks(lines: DataFrame, c: Change) -> DataFrame:
+    """The lines with a call that a secret must not reach, aliased loggers included."""
+    logs = F.contains(F.lower("target"), F.lit("log")) | F.col("target").isin("print", "requests.post", "requests.get", "cursor.execute")
+    loggers = _bound(c).where(logs).groupBy("run_id", "path").agg(F.array_join(F.collect_set("local"), "|").alias("loggers"))
+    by_alias = F.rlike("line", F.concat(F.lit(r"\b("), F.col("loggers"), F.lit(r")\s*\(")))
+    return lines.join(loggers, ["run_id", "path"], "left").where(F.col("line").rlike(text.SECRET_SINK) | F.col("line").rlike(text.TAINT_SINK) | F.coalesce(by_alias, F.lit(False))).drop("loggers")
+
+
 def security(c: Change) -> tuple[DataFrame, DataFrame]:
     """Secrets, dangerous calls and flows on changed lines."""
     lines = _head_lines(c)
@@ -346,19 +368,28 @@ def security(c: Change) -> tuple[DataFrame, DataFrame]:
     null = F.lit(None).cast("string")
     secret = finding(hits, "security", "SEC-SECRET", F.col("path"), F.col("kind"), F.col("line_no"), F.struct("kind", text.redact(F.col("value")).alias("redacted")), F.concat(F.lit("secret in a changed line: "), F.col("kind")))
     named = hits.select("run_id", "path", "line_no", "kind").join(lines, ["run_id", "path", "line_no"]).withColumn("name", text.assignment_name(F.col("line")))
-    here = named.where(F.col("line").rlike(text.SECRET_SINK)).select("run_id", "path", "line_no", "kind", F.col("line_no").alias("source_line"))
-    sinks = lines.where(F.col("line").rlike(text.SECRET_SINK)).select("run_id", "path", F.col("line_no").alias("at"), F.col("line").alias("sink"))
+    here = _sinks(named, c).select("run_id", "path", "line_no", "kind", F.col("line_no").alias("source_line"))
+    sinks = _sinks(lines, c).select("run_id", "path", F.col("line_no").alias("at"), F.col("line").alias("sink"))
     flow = named.where("name is not null").join(sinks, ["run_id", "path"]).where(F.expr(r"at <> line_no and sink rlike concat('(^|[^A-Za-z0-9_])', name, '([^A-Za-z0-9_]|$)')")).select("run_id", "path", F.col("at").alias("line_no"), "kind", F.col("line_no").alias("source_line"))
     flows = here.union(flow).dropDuplicates(["run_id", "path", "line_no", "kind"])
     to_sink = finding(flows, "security", "SEC-SECRET-TO-SINK", F.col("path"), F.col("kind"), F.col("line_no"), F.struct("kind", "source_line"), F.concat(F.lit("secret reaches a sink: "), F.col("kind")))
-    # Dangerous calls: by rule on text, and by the policy's own symbols on call sites.
+    # Dangerous calls: by rule on text, and on call sites by the names that a Python file's imports give, over the whole span.
     code = changed.where(names.path_suffix(F.col("path")).isin(*CODE_ENDINGS)).where(~F.startswith(F.ltrim("line"), F.lit("#")) & ~F.startswith(F.ltrim("line"), F.lit("//")))
     rules = F.array_compact(F.array(*[F.when(F.col("line").rlike(rx), F.lit(k)) for k, rx in text.DANGEROUS_CALLS.items()]))
     by_rule = code.select("run_id", "path", "line_no", F.explode(rules).alias("rule_id"))
     spans = c.calls().withColumn("line_no", F.explode(F.sequence("line", "end_line"))).join(changed.select("run_id", "path", "line_no"), ["run_id", "path", "line_no"], "left_semi")
-    own = c.rules.where("section = 'forbidden_call'").select("run_id", "rule_id", F.explode("patterns").alias("callee"))
-    by_policy = spans.join(own, ["run_id", "callee"]).groupBy("run_id", "path", "call_no", "rule_id").agg(F.min("line").alias("line_no")).select("run_id", "path", "line_no", "rule_id")
-    dangerous = finding(by_rule.union(by_policy).distinct(), "security", "SEC-DANGEROUS-CALL", F.col("path"), F.col("rule_id"), F.col("line_no"), F.struct("rule_id"), F.concat(F.lit("dangerous call: "), F.col("rule_id")))
+    spans = spans.select("run_id", "path", "call_no", "line", "callee").distinct()
+    bound = _bound(c).withColumnRenamed("local", "head")
+    spans = spans.withColumn("head", F.substring_index("callee", ".", 1)).join(bound, ["run_id", "path", "head"], "left")
+    full = F.when(F.col("target").isNotNull(), F.concat("target", F.expr("substr(callee, length(head) + 1)"))).otherwise(F.col("callee"))
+    spans = settle(spans.select("run_id", "path", "line", F.regexp_replace(full, r"^(builtins|__builtin__|__builtins__)\.", "").alias("callee"), _in_python().alias("python")))
+    name = F.col("callee")
+    rule = F.when(name.isin("eval", "exec", "compile", "os.system", "pickle.loads", "yaml.load"), name).when(F.startswith(name, F.lit("subprocess.")), "subprocess")
+    by_name = spans.where("python").withColumn("rule_id", rule).where("rule_id is not null").select("run_id", "path", F.col("line").alias("line_no"), "rule_id")
+    own = c.rules.where("section = 'forbidden_call'").select("run_id", "rule_id", F.explode("patterns").alias("symbol"))
+    last = lambda x: F.substring_index(F.substring_index(x, ":", -1), ".", -1)
+    by_policy = spans.withColumn("last", last("callee")).join(own.withColumn("last", last("symbol")), ["run_id", "last"]).where("python or callee = symbol").select("run_id", "path", F.col("line").alias("line_no"), "rule_id")
+    dangerous = finding(by_rule.union(by_name).union(by_policy).distinct(), "security", "SEC-DANGEROUS-CALL", F.col("path"), F.col("rule_id"), F.col("line_no"), F.struct("rule_id"), F.concat(F.lit("dangerous call: "), F.col("rule_id")))
     # Taint: only where the policy names sources and sinks.
     on = c.rules.where("section in ('taint_source', 'taint_sink') and size(patterns) > 0").groupBy("run_id").agg(F.count_distinct("section").alias("n")).where("n = 2").select("run_id")
     marked = code.join(on, "run_id", "left_semi").select("run_id", "path", "line_no", F.col("line").rlike(text.TAINT_SOURCE).alias("source"), F.col("line").rlike(text.TAINT_SINK).alias("sink"))

@@ -48,6 +48,12 @@ CASES = {
     "forbidden": ({"t.py": "x = 1\n"}, {"t.py": "x = 1\nlib.drop(x)\n"}, '[forbidden_calls.F]\nsymbols = ["lib.drop"]\n', ("security", "FAIL", "COMPLETE"), {"SEC-DANGEROUS-CALL"}, set()),
     "secret_after_stand_in": ({"c.txt": "a\n"}, {"c.txt": "a\nu postgres://u:example" + "@h.io/d postgres://app:q8Zt4Lw0" + "@db.corp.io/x\n"}, "", ("security", "FAIL", "COMPLETE"), {"SEC-SECRET"}, set()),
     "assigned_bad_jwt": ({"c.txt": "a\n"}, {"c.txt": "a\ntoken = eyJabcdefghij.eyJklmnopqrst.uvwxyzqkpw\n"}, "", ("security", "FAIL", None), {"SEC-SECRET"}, {"secret_candidate_ambiguous"}),
+    "call_by_alias": ({"t.py": "x = 1\n"}, {"t.py": "x = 1\nfrom os import system as s\ns(x)\n"}, "", ("security", "FAIL", "COMPLETE"), {"SEC-DANGEROUS-CALL"}, set()),
+    "call_of_module": ({"t.py": "x = 1\n"}, {"t.py": "x = 1\nimport subprocess as sp\nsp.run(x)\n"}, "", ("security", "FAIL", "COMPLETE"), {"SEC-DANGEROUS-CALL"}, set()),
+    "call_over_lines": ({"t.py": "import os\nos.system(\n    1,\n)\n"}, {"t.py": "import os\nos.system(\n    2,\n)\n"}, "", ("security", "FAIL", "COMPLETE"), {"SEC-DANGEROUS-CALL"}, set()),
+    "forbidden_alias": ({"t.py": "x = 1\n"}, {"t.py": "x = 1\nfrom lib import drop as d\nd(x)\n"}, '[forbidden_calls.F]\nsymbols = ["lib.drop"]\n', ("security", "FAIL", "COMPLETE"), {"SEC-DANGEROUS-CALL"}, set()),
+    "secret_to_taint_sink": ({"c.js": "x\n"}, {"c.js": "x\napi_key = 'q8Zt4Lw0Xc7Vb2Nm'\na.innerHTML = api_key\n"}, "", ("security", "FAIL", None), {"SEC-SECRET", "SEC-SECRET-TO-SINK", "SEC-DANGEROUS-CALL"}, set()),
+    "secret_to_alias": ({"c.py": "x = 1\n"}, {"c.py": "from logging import info as say\napi_key = 'q8Zt4Lw0Xc7Vb2Nm'\nsay(api_key)\n"}, "", ("security", "FAIL", None), {"SEC-SECRET", "SEC-SECRET-TO-SINK"}, set()),
     "renamed": ({"old.txt": "same\n"}, {"new.txt": "same\n"}, "", ("security", "PASS", "COMPLETE"), set(), set()),
 }
 
