@@ -31,8 +31,10 @@ def sole_cache(name: str, empty) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named."""
+    """The shared folder that the cluster names; one of this machine only where Spark runs on it alone."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     return at or "file://" + os.path.join(tempfile.gettempdir(), f"palisade-scratch-{os.getuid()}")
 
 
@@ -93,13 +95,29 @@ def words_of(text: Column) -> Column:
 SENT_KEYS = 1_000_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def row_key(id_col: str, text_col: str, *more: str) -> Column:
-    """A text that tells documents apart: id, and a hash of the text and further columns."""
-    return F.concat_ws(":", F.col(id_col).cast("string"), F.hex(F.xxhash64(text_of(text_col), *more)))
+    """A text that tells documents apart: id, and two hashes of the text and further columns; nulls differ from empty texts."""
+    parts = [F.col(c) for c in (text_col, *more)]
+    null = F.concat(*[F.when(p.isNull(), "n").otherwise("v") for p in (F.col(id_col), *parts)])
+    return F.concat_ws(":", F.col(id_col).cast("string"), null, F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts))
 
 
 def without(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
     """docs without the rows whose key is the one column of ``bad``."""
-    bad = bad.select(F.col(bad.columns[0]).alias("_bad")).distinct()
+    name = fresh(docs, "bad")
+    bad = bad.select(F.col(bad.columns[0]).alias(name)).distinct()
     few = bad.limit(SENT_KEYS + 1).count() <= SENT_KEYS
-    return docs.join(F.broadcast(bad) if few else bad, key == F.col("_bad"), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, key == F.col(name), "left_anti")

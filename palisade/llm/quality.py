@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import BLANK, materialize, row_key, text_of, without, words_of
+from palisade.llm.common import BLANK, let, materialize, row_key, text_of, without, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -17,11 +17,6 @@ HOST_SHARE = 0.5
 SENT_HOSTS = 50_000
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Number of words inside windows that occur twice or more in the list.
 
@@ -35,7 +30,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     # Windows of 2, 4, ... words from two halves each; the last width - 1 places have no full window.
     while width < window:
         step = min(width, window - width)
-        hashes = _let(hashes, lambda h: F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda x, y: F.xxhash64(x, y)))  # noqa: B023
+        hashes = let(hashes, lambda h: F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda x, y: F.xxhash64(x, y)))  # noqa: B023
         width += step
     hashes = F.slice(hashes, F.lit(1), F.size(words) - (window - 1))
 
@@ -53,9 +48,9 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
                 lambda a: a["n"],
             )
 
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(_let(paired, marked))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(let(paired, marked))
 
-    return F.when(F.size(words) <= window, none).otherwise(_let(hashes, covered))
+    return F.when(F.size(words) <= window, none).otherwise(let(hashes, covered))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
