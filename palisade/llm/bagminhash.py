@@ -16,8 +16,9 @@ import hashlib
 import numpy as np
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5
-SLOTS = BANDS * ROWS
+SLOTS = 120
+#: Chance, at most, that a pair of just the similarity asked for shares no band.
+MISS = 1e-4
 #: Slots of a longer signature, of texts whose buckets hold several classes.
 MORE_SLOTS = 480
 #: Characters that edits add to and take from words without making other words.
@@ -102,11 +103,29 @@ def signatures(bags: list[np.ndarray], slots: int = SLOTS, salt: int = 0) -> np.
     return sig.reshape(-1, slots)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def banding(similarity: float) -> tuple[int, int]:
+    """(bands, rows): the longest bands that miss a pair of this similarity with a chance of MISS at most."""
+    for rows in range(SLOTS, 0, -1):
+        bands = SLOTS // rows
+        if (1 - similarity**rows) ** bands <= MISS:
+            return bands, rows
+    raise ValueError(f"signatures of {SLOTS} slots can't find pairs of similarity {similarity}")
+
+
+def least_equal(similarity: float, slots: int) -> int:
+    """Equal slots that pairs of this similarity have at least, but for chances beyond four standard deviations.
+
+    Of slots that differ, one in 16 looks equal, as four bits of each are compared.
+    """
+    p = similarity + (1 - similarity) / 16
+    return max(0, int(slots * p - 4 * (slots * p * (1 - p)) ** 0.5))
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One key for each band of a signature."""
-    bits = np.ascontiguousarray(sig).view(np.uint64).reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + _U(1), bits.shape[:2]).copy()
-    for r in range(ROWS):
+    bits = np.ascontiguousarray(sig[:, : bands * rows]).view(np.uint64).reshape(-1, bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + _U(1), bits.shape[:2]).copy()
+    for r in range(rows):
         key = mixed(key * _POLY + bits[:, :, r])
     return key.view(np.int64)
 

@@ -31,7 +31,7 @@ def docs(spark, rows, extra=False):
     if extra:
         from pyspark.sql import functions as F
 
-        for c in ("id", "node", "key", "word", "words", "start", "item", "row", "kept", "host", "digest", "label", "text_key", "n_tokens"):
+        for c in ("id", "node", "key", "word", "words", "start", "item", "row", "kept", "host", "digest", "label", "text_key", "n_tokens", "_bad", "bad", "_name", "name", "_cuts", "_cut_key", "cuts", "cut_key", "_owned", "best", "class", "k1", "k2", "code", "size", "hash", "owner"):
             df = df.withColumn(c, F.lit("clash"))
     return df
 

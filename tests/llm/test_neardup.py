@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import bagminhash as bag
@@ -110,3 +111,53 @@ def test_components(spark):
             top[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in top}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def loose(seed, k, length=90):
+    """A text and one that shares ever less of it."""
+    base = prose(seed, length, 5000)
+    w = base.split()
+    return base, " ".join(w[: length - k] + prose(seed + 10**6, k, 5000).split())
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.8])
+def test_pairs_equal_brute_force_at_other_similarities(spark, similarity):
+    rows = []
+    for k in range(30):
+        a, b = loose(k, 2 + k)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows), similarity=similarity).collect()}
+    want = classes_of(rows, similarity)
+    assert sum(a != b for a, b in want.items()) >= 5 and got == want
+
+
+def test_similarities_out_of_reach_are_refused(spark):
+    for similarity in (0, 0.05, 1.1):
+        with pytest.raises(ValueError):
+            near_duplicates(docs(spark, ODD), similarity=similarity)
+
+
+def test_ids_that_are_no_numbers_shared_or_missing(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [("x", a), ("x", b), ("x", b), ("y", a.upper()), (None, b), (None, prose(3, 60)), (None, None), ("z", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), r.class_id, r.duplicate) for r in got if r.class_id in "xyz") == [("None", "x", True), ("x", "x", False), ("x", "x", False), ("x", "x", False), ("y", "x", True), ("z", "z", False)]
+    assert {(r.doc_id, r.text) for r in keep_one(df).collect()} == {("x", a), ("x", b), (None, prose(3, 60)), (None, None), ("z", "")}
+    one = near_duplicates(spark.createDataFrame([(None, a), (5, a)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.duplicate) for r in one} == {(None, 5, True), (5, 5, False)}
+
+
+def test_unlike_texts_that_share_buckets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PIVOTS", 4)
+    # Half of each text is common, so buckets hold many classes.
+    common = prose(50, 200, 5000)
+    rows = [(k, common + " " + prose(100 + k // 2, 60, 5000) + (" end" if k % 2 else "")) for k in range(60)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows), similarity=0.9).collect()}
+    assert got == classes_of(rows, 0.9)
+
+
+def test_a_very_long_text(spark):
+    long = prose(1, 40000, 9000)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, [(1, long), (2, long + " more"), (3, prose(2, 40000, 9000))])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
