@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
-The tree of a page is built without the elements that never hold article text.
-Each node's density is its characters per tag, weighed by how much of them stands
-in links; a node's sum is that of its children's densities. The node of the
-greatest sum lies in the article. The least density on the path from the body to
-it is the threshold: the highest ancestor on the path that adds only content of at
-least that density, or of the article element itself, is the article.
+The tree of a page is built without the elements that never hold article text, by
+their meaning (navigation, forms, scripts) or, for blocks other than paragraphs, by
+a name that says so. Each node's density is its characters per tag, weighed by how
+much of them stands in links; a node's sum is that of its children's densities. The
+node of the greatest sum lies in the article. The least density on the path from the
+body to it is the threshold: the highest ancestor on the path that adds only content
+of at least that density, or headings and paragraphs, is the article.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import text_of
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Elements whose whole content is no article text.
@@ -46,24 +48,33 @@ AROUND = frozenset(
     "share sharing social sponsor sponsored sponsors subscribe subscription newsletter signup login search toolbar tags taglist skip skiplink contentinfo complementary".split()
 )
 SPLIT_NAME = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
-#: Beyond so many levels a page's elements count as children of the deepest one.
+#: Words that go with those.
+BESIDE = frozenset("area articles bar block bottom box center col column container content group inner item items left links list main nav page post posts entry blog article right section site stories text title top widget wrap wrapper".split())
+#: Elements whose names are not believed: an article's own text has them too.
+OWN_TEXT = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Beyond so many levels a page's elements count as text of the deepest one.
 DEEPEST = 500
 
 
+def _named_around(name: str, in_article: bool) -> bool:
+    """Whether one class name, id or role says that a block stands around an article, and nothing else."""
+    words = {w.lower() for w in SPLIT_NAME.split(name) if w}
+    said = words & AROUND
+    if in_article:
+        said -= {"header"}
+    return bool(said) and all(w in AROUND or w in BESIDE or w.isdigit() for w in words)
+
+
 def _around(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element stands around an article. A header inside one holds its title."""
     if tag == "header" and not in_article:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role"):
-            words = {w.lower() for w in SPLIT_NAME.split(value)} & AROUND
-            if words - {"header"} if in_article else words:
-                return True
+        if name in ("class", "id", "role") and tag not in OWN_TEXT and any(_named_around(x, in_article) for x in value.split()):
+            return True
     return False
 
 
@@ -84,6 +95,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         open_: list[tuple[str, int]] = [("#page", 0)]  # tag, node; -1 inside of dropped content
+        self.opened: Counter = Counter()  # open elements by tag
         at, end = 0, len(source)
         while at < end:
             m = TAG.search(source, at)
@@ -115,12 +127,13 @@ class Page:
 
     def _pop(self, open_: list, to: int) -> None:
         while len(open_) > to:
-            tag, node = open_.pop()
+            tag, _ = open_.pop()
+            self.opened[tag] -= 1
             if tag not in INLINE:
                 self._border(open_[-1][1])
 
     def _close(self, open_: list, tag: str) -> None:
-        for k in range(len(open_) - 1, 0, -1):
+        for k in range(len(open_) - 1, 0, -1) if self.opened[tag] else ():
             if open_[k][0] == tag:
                 self._pop(open_, k)
                 return
@@ -130,7 +143,7 @@ class Page:
             self._border(open_[-1][1])
 
     def _start(self, open_: list, tag: str, attributes: str, source: str, at: int) -> int:
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.opened["p"]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k][0] == "p":
                     self._pop(open_, k)
@@ -139,7 +152,7 @@ class Page:
                     break
         if tag in CLOSES:
             closes, bars = CLOSES[tag]
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if any(self.opened[t] for t in closes) else ():
                 if open_[k][0] in bars:
                     break
                 if open_[k][0] in closes:
@@ -153,9 +166,12 @@ class Page:
             if node >= 0:
                 self.tags[node] += 1
             return at
-        in_article = any(t in ("article", "main") for t, _ in open_)
+        in_article = bool(self.opened["article"] or self.opened["main"])
         if node < 0 or tag in DROP or self.by_name and _around(tag, attributes, in_article):
             new = -1
+        elif len(open_) > DEEPEST:
+            new = node
+            self.tags[node] += 1
         else:
             new = len(self.tag)
             self.tag.append(tag)
@@ -168,8 +184,8 @@ class Page:
             return found.end() if found else len(source)
         if attributes.endswith("/") and tag in ("svg", "path", "math"):
             return at
-        if len(open_) < DEEPEST:
-            open_.append((tag, new))
+        open_.append((tag, new))
+        self.opened[tag] += 1
         return at
 
     def _density(self, i: int, body: int) -> float:
@@ -195,14 +211,13 @@ class Page:
         path = [best]
         while path[-1] != body and path[-1] > 0:
             path.append(self.parent[path[-1]])
-        for i in reversed(path):
-            if self.tag[i] in ("article", "main"):
-                return i
         least = min(density[i] for i in path)
-        chosen = best
+        chosen, children = best, {i: [] for i in path}
+        for k in range(1, len(self.tag)):
+            if self.parent[k] in children and self.chars[k]:
+                children[self.parent[k]].append(k)
         for below, above in zip(path, path[1:], strict=False):
-            beside = [k for k in range(above + 1, len(self.tag)) if self.parent[k] == above and k != below and self.chars[k]]
-            if all(density[k] >= least or self.tag[k] in ("h1", "h2", "h3", "h4", "h5", "h6", "p") for k in beside):
+            if all(k == below or density[k] >= least or self.tag[k] in ("h1", "h2", "h3", "h4", "h5", "h6", "p") for k in children[above]):
                 chosen = above
             else:
                 break
@@ -243,7 +258,8 @@ def _extract(batches):
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of each page, from its whole html.
 
-    Pages without html, and pages without article text, have an empty text.
+    Pages without html, and pages without article text, have an empty text; of
+    nodes with the same sum the first is taken. Null ids and urls stay null.
     Repeated rows each give a row; an empty table gives an empty result. No shuffle.
     """
     take = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"))
