@@ -140,24 +140,43 @@ def _url_sql() -> str:
     path = lambda u: f"regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
     query = lambda u: rf"regexp_replace(regexp_replace(regexp_extract({u}, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '{TRACKING}', '', 'g'), '^&+', '')"
     key = lambda u: rf"CASE WHEN contains({u}, '://') THEN regexp_replace({host(u)}, '^(www|m)\.', '') || regexp_replace({path(u)}, '/+$', '') || CASE WHEN {query(u)} <> '' THEN '?' || {query(u)} ELSE '' END END"
-    absolute = f"CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN x WHEN starts_with(x, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || x WHEN starts_with(x, '/') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || {host('url')} || x END"
+    site = "regexp_extract({}, '(?s)^(.*?://[^/?#]*)', 1)"
+    code = r"CASE WHEN starts_with(lower(c), 'x') THEN CAST('0' || lower(c) AS INTEGER) ELSE CAST(c AS INTEGER) END"
+    sign = f"CASE WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE chr(65533) END"
+    reference = r"'(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});'"
+    decoded = lambda x: rf"regexp_replace(list_reduce(list_transform(list_zip(regexp_split_to_array({x}, {reference}), list_transform(regexp_extract_all({x}, {reference}, 1), lambda c: {sign})), lambda z: z[1] || coalesce(z[2], '')), lambda s, t: s || t), '(?i)&amp;', '&', 'g')"
+    folded = lambda p: f"array_to_string(list_reduce(list_transform(string_split({p}, '/'), lambda x: [x]), lambda seen, x: CASE WHEN x[1] = '..' THEN CASE WHEN len(seen) > 1 THEN seen[1:len(seen) - 1] ELSE seen END WHEN x[1] = '.' THEN seen ELSE list_concat(seen, x) END), '/')"
+    dotless = lambda p: rf"CASE WHEN regexp_matches({p}, '(?s)/\.\.?(/|\z)') THEN {folded(p)} || CASE WHEN regexp_matches({p}, '(?s)/\.\.?\z') AND NOT ends_with({folded(p)}, '/') THEN '/' ELSE '' END ELSE {p} END"
+    folder = lambda u: f"CASE WHEN contains({path(u)}, '/') THEN regexp_extract({path(u)}, '(?s)^(.*/)', 1) ELSE '/' END"
+
+    def absolute(x: str, u: str) -> str:
+        before, after = f"regexp_extract({x}, '(?s)^([^?#]*)', 1)", f"regexp_extract({x}, '(?s)^[^?#]*(.*)', 1)"
+        return f"CASE WHEN regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {x} WHEN regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*:') OR NOT contains({u}, '://') THEN NULL WHEN starts_with({x}, '//') THEN regexp_extract({u}, '(?s)^(.*?)://', 1) || ':' || {x} WHEN starts_with({x}, '/') THEN {site.format(u)} || {dotless(before)} || {after} WHEN {before} = '' THEN {site.format(u)} || {path(u)} || {after} ELSE {site.format(u)} || {dotless(f'({folder(u)} || {before})')} || {after} END"
+
+    value = r"""\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
+    base = rf"regexp_extract(coalesce(html, ''), '(?is)<base\b[^>]*\shref{value}', 1)"
+    unquoted = lambda v: f"trim(CASE WHEN regexp_matches({v}, '^[\"'']') THEN {v}[2:-2] ELSE {v} END, ' ')"
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     return rf"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES {rules}),
 own AS (SELECT row_number() OVER () AS r, page_id, url, html, {host("url")} AS host, {path("url")} AS path, {key("url")} AS key FROM pages),
 ruled AS (SELECT r, arg_max((h || p, v), (length(h || p), h || p)) AS hit FROM own JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
 o AS (SELECT own.*, struct_extract(hit, 1) AS rule, struct_extract(hit, 2) AS ruled FROM own LEFT JOIN ruled USING (r)),
+based AS (SELECT *, {unquoted(base)} AS base FROM own),
+own2 AS (SELECT *, CASE WHEN base = '' THEN url ELSE coalesce({absolute("d", "url")}, url) END AS seen FROM (SELECT *, {decoded("base")} AS d FROM based)),
 tags AS (
-  SELECT key, url, regexp_extract(unnest(regexp_extract_all(coalesce(html, ''), '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1)), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS x FROM own
+  SELECT key, seen, {unquoted("v")} AS x FROM (SELECT key, seen, regexp_extract(unnest(regexp_extract_all(coalesce(html, ''), '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1)), '(?is)\shref{value}', 1) AS v FROM own2)
   UNION ALL
-  SELECT key, url, regexp_extract(unnest(regexp_extract_all(coalesce(html, ''), '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1)), '(?is)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1) AS x FROM own
+  SELECT key, seen, regexp_extract(unnest(regexp_extract_all(coalesce(html, ''), '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1)), '(?is)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1) AS x FROM own2
 ),
-linked AS (SELECT key AS a, {absolute} AS y FROM tags WHERE x <> ''),
+linked AS (SELECT key AS a, {absolute("y", "seen")} AS y FROM (SELECT key, seen, {decoded("x")} AS y FROM tags WHERE x <> '')),
 e AS (SELECT a, {key("y")} AS b FROM linked),
+named AS (SELECT DISTINCT y, {key("y")} AS key, {host("y")} AS host, {path("y")} AS path FROM linked WHERE contains(y, '://')),
+met AS (SELECT key, ruled FROM o WHERE ruled IS NOT NULL UNION ALL SELECT arg_max(key, 0), arg_max(v, (length(h || p), h || p)) FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY y),
 links AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
-reach(a, b) AS (SELECT DISTINCT key, key FROM own WHERE key IS NOT NULL UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+reach(a, b) AS (SELECT DISTINCT key, key FROM (SELECT key FROM own UNION SELECT key FROM named) WHERE key IS NOT NULL UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 part AS (SELECT a AS key, min(b) AS component FROM reach GROUP BY a),
-grouped AS (SELECT component, bool_or(ruled = 'allow') AS allow, bool_or(ruled = 'block') AS block FROM o JOIN part USING (key) GROUP BY component)
+grouped AS (SELECT component, bool_or(ruled = 'allow') AS allow, bool_or(ruled = 'block') AS block FROM met JOIN part USING (key) GROUP BY component)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN allow THEN 'allow' WHEN block THEN 'block' END, 'allow') AS verdict, ruled IS NULL AND (coalesce(allow, false) OR coalesce(block, false)) AS propagated
 FROM o LEFT JOIN part USING (key) LEFT JOIN grouped USING (component)
 """
