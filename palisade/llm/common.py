@@ -77,8 +77,16 @@ def _clean() -> None:
                 return
 
 
+#: A table of fewer bytes than this for each core is dealt out anew; one of fewer than the other is left alone.
+DEAL_OUT, TINY = 4 << 20, 1 << 18
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is read; a small one, which would come in one or two pieces, spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if TINY <= size < DEAL_OUT * cores else df
 
 
 def text_of(column: str | Column) -> Column:

@@ -145,8 +145,9 @@ def _leaks(docs: DataFrame, items: DataFrame, text_col: str, similarity: float,
     seeds = materialize(ranked.select("code", F.explode(F.slice("ranked", F.lit(1), spare + 1)).alias("s")).select("code", F.col("s.shingle").alias("shingle")).distinct(), "seeds")
 
     # One row for each word of a document, but no copy of its words: they are only read for shingles.
-    words = _texts(docs, text_col).select("k1", "k2", plain_words(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE)
-    rows = words.select("k1", "k2", "words", F.posexplode("words").alias("at", "word")).where(F.col("at") + SHINGLE <= F.size("words"))
+    # Outer, or the list would be made again by a filter on it below; rows without a shingle go by their place.
+    words = _texts(docs, text_col).select("k1", "k2", plain_words(F.col("text")).alias("words"))
+    rows = words.select("k1", "k2", "words", F.posexplode_outer("words").alias("at", "word")).where(F.col("at") + SHINGLE <= F.size("words"))
     rows = rows.select("k1", "k2", shingle_at(F.col("words"), F.col("at")).alias("shingle"))
     pairs = materialize(rows.join(_sent(seeds), "shingle").select("k1", "k2", "code").distinct(), "pairs")
 
