@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 20, 48, 1024, 0.2
+CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 16, 48, 2048, 0.25
 #: Groups of words by shape, the most frequent words included; so many times the root of the words is how many pieces they fall into beside.
 GROUPS, BY_ROOT = 160, 0.6
 #: Most frequent words that are always classes of their own.
@@ -24,6 +24,8 @@ RIVALS = 2
 SQUARES, WORD_SQUARES = 1e-3, 1e-5
 #: Tokens that are scored at once.
 AT_ONCE = 2048
+#: Words of a text that are learned from together; a batch holds such pieces of many texts.
+PIECE = 64
 #: Stands for the end of a text; no word holds a blank.
 END = " "
 
@@ -103,12 +105,16 @@ def _classes(words: list[str], prior: np.ndarray) -> np.ndarray:
     return of
 
 
-def _add_up(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, and the sums of their values."""
-    found, at = np.unique(rows, return_inverse=True)
-    width = values.shape[1]
-    places = (at[:, None] * width + np.arange(width)).ravel()
-    return found, np.bincount(places, values.ravel(), len(found) * width).reshape(-1, width).astype(np.float32)
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, how often each occurs, and what _sums needs: an order that brings equal rows together, and where each begins."""
+    order = np.argsort(rows, kind="stable")
+    ranked = rows[order]
+    begins = np.flatnonzero(np.diff(ranked, prepend=-1))
+    return ranked[begins], np.diff(np.append(begins, len(rows))), order, begins
+
+
+def _sums(values: np.ndarray, order: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values[order], begins, axis=0)
 
 
 class LogBilinear:
@@ -121,123 +127,160 @@ class LogBilinear:
         self.of = np.repeat(np.arange(k, dtype=np.int32), sizes)
         by_class = np.add.reduceat(prior, self.bounds[:-1])
         self.by_class, self.log_class = np.cumsum(by_class), np.log(by_class).astype(np.float32)
-        self.log_share = np.log(prior / by_class[self.of]).astype(np.float32)
         self.alone = (sizes == 1)[self.of]
-        self.sums = np.concatenate([[0.0], np.cumsum(prior)])
+        log_share = np.log(prior / by_class[self.of]).astype(np.float32)
+        # Rivals are drawn from a list in which a class's words stand about as often as their shares say, at least once.
+        places = np.maximum(1, np.rint(prior / by_class[self.of] * (4 * sizes[self.of]))).astype(np.int64)
+        self.drawn_from = np.repeat(np.arange(n, dtype=np.int32), places)
+        ends = np.add.reduceat(places, self.bounds[:-1])
+        self.list_at, self.list_size = (np.cumsum(ends) - ends).astype(np.int64), ends
+        self.log_drawn = np.log(places / ends[self.of]).astype(np.float32)
         if tables is None:
             rng = np.random.default_rng(7)
             S = rng.normal(0, 0.3, (k, DIMENSIONS))
-            W = np.column_stack([np.zeros((n, DIMENSIONS)), self.log_share])
+            W = np.column_stack([np.zeros((n, DIMENSIONS)), log_share])
             P = np.column_stack([rng.normal(0, 0.3, (k, DIMENSIONS)), self.log_class])
-            tables = [np.zeros((n, DIMENSIONS)), W, P, np.ones((CONTEXT, DIMENSIONS)) / np.arange(1, CONTEXT + 1)[:, None], S]
+            tables = [rng.normal(0, 0.1, (n, DIMENSIONS)), W, P, np.ones((CONTEXT, DIMENSIONS)) / np.arange(1, CONTEXT + 1)[:, None], S]
         self.tables = [t.astype(np.float32) for t in tables]
         self.R, self.W, self.P, self.C, self.S = self.tables
         self.squares: list[np.ndarray] | None = None
         self.met: list[np.ndarray] | None = None
 
-    def _vectors(self, rows: np.ndarray) -> np.ndarray:
-        return self.R[rows] + self.S[self.of[rows]]
-
-    def _context(self, near: np.ndarray) -> np.ndarray:
-        """With a one at the end, which meets the bias."""
-        r = np.ones((near.shape[1], DIMENSIONS + 1), np.float32)
-        r[:, :-1] = self.C[0] * self._vectors(near[0])
+    def _context(self, said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' vectors, and those of the contexts of all but the first CONTEXT, with a one at the end, which meets the bias."""
+        v = self.R[said]
+        v += self.S[self.of[said]]
+        n = len(said) - CONTEXT
+        r = np.ones((n, DIMENSIONS + 1), np.float32)
+        np.multiply(self.C[0], v[CONTEXT - 1 : CONTEXT - 1 + n], out=r[:, :-1])
         for j in range(1, CONTEXT):
-            r[:, :-1] += self.C[j] * self._vectors(near[j])
-        return r
+            r[:, :-1] += self.C[j] * v[CONTEXT - 1 - j : CONTEXT - 1 - j + n]
+        return v, r
 
-    def _move(self, table: int, rows: np.ndarray, grad: np.ndarray) -> None:
+    def _move(self, table: int, rows: np.ndarray, n: np.ndarray, grad: np.ndarray) -> None:
         squares = self.squares[table]
-        at = squares[rows] + grad * grad
+        at = squares[rows]
+        at += grad * grad
         squares[rows] = at
-        self.tables[table][rows] += RATE * grad / np.sqrt(at)
+        np.sqrt(at, out=at)
+        np.divide(grad, at, out=at)
+        at *= RATE
+        self.tables[table][rows] += at
+        self.met[table][rows] += n
 
-    def _meet(self, table: int, rows: np.ndarray) -> None:
-        found, n = np.unique(rows, return_counts=True)
-        self.met[table][found] += n
-
-    def learn(self, near: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
+    def learn(self, said: np.ndarray, real: np.ndarray, rng: np.random.Generator) -> None:
         """One step of noise-contrastive estimation of classes, and of words among their class's.
 
-        Noise classes are drawn from all and shared by the batch; a word's rivals are drawn from its class.
+        said: words in the order of the texts, the first CONTEXT of them only as
+        context. real: places, counted after those, of words that are learned; the
+        others pad the begins of texts. Noise classes are drawn from all and shared by
+        the batch; a word's rivals are drawn from its class.
         """
         if self.squares is None:
             self.squares = [np.full_like(t, s) for t, s in zip(self.tables, (WORD_SQUARES, WORD_SQUARES, SQUARES, SQUARES, SQUARES), strict=True)]
             self.met = [np.zeros(len(t), np.float32) for t in self.tables]
+        target = said[CONTEXT:][real]
         n, c = len(target), self.of[target]
         noise = np.searchsorted(self.by_class, rng.random(NOISE) * (1 - 1e-9))
-        r = self._context(near)
+        v, r = self._context(said)
+        r = r[real]
         pt, pn = self.P[c], self.P[noise]
         log_k = np.float32(np.log(NOISE))
-        st = np.einsum("nd,nd->n", r, pt) - log_k - self.log_class[c]
-        sn = r @ pn.T - (log_k + self.log_class[noise])
+        st = np.einsum("nd,nd->n", r, pt)
+        st -= log_k + self.log_class[c]
+        sn = r @ pn.T
+        sn -= log_k + self.log_class[noise]
         gt = 1 / (1 + np.exp(np.clip(st, -30, 30)))
         gn = -1 / (1 + np.exp(np.clip(-sn, -30, 30)))
-        dr = gt[:, None] * pt + gn @ pn
-        rows, grad = _add_up(np.concatenate([c, noise]), np.concatenate([gt[:, None] * r, gn.T @ r]))
-        self._move(2, rows, grad / n)
-        self._meet(2, np.concatenate([c, noise]))
+        dr = gn @ pn
+        dr += gt[:, None] * pt
+        rows, times, order, begins = _grouped(np.concatenate([c, noise]))
+        self._move(2, rows, times, _sums(np.concatenate([gt[:, None] * r, gn.T @ r]), order, begins) / n)
 
         among = np.flatnonzero(~self.alone[target])
         if len(among):
-            w, ra = target[among], r[among]
-            low, high = self.bounds[c[among]], self.bounds[c[among] + 1]
-            drawn = self.sums[low] + rng.random((RIVALS, len(w))) * (self.sums[high] - self.sums[low])
-            rivals = np.clip(np.searchsorted(self.sums, drawn, "right") - 1, low, high - 1)
-            every = np.concatenate([w[None], rivals])
-            W = self.W[every]
-            s = np.einsum("nd,knd->kn", ra, W) - self.log_share[every] - np.float32(np.log(RIVALS))
+            w, ra, ca = target[among], r[among], c[among]
+            drawn = (rng.random((RIVALS, len(w)), dtype=np.float32) * self.list_size[ca]).astype(np.int64)
+            every = np.concatenate([w, *self.drawn_from[self.list_at[ca] + np.minimum(drawn, self.list_size[ca] - 1)]])
+            W = self.W[every].reshape(RIVALS + 1, len(w), -1)
+            s = np.einsum("nd,knd->kn", ra, W)
+            s -= self.log_drawn[every].reshape(s.shape) + np.float32(np.log(RIVALS))
             g = -1 / (1 + np.exp(np.clip(-s, -30, 30)))
             g[0] += 1
             dr[among] += np.einsum("kn,knd->nd", g, W)
-            rows, grad = _add_up(every.ravel(), (g[:, :, None] * ra).reshape(-1, DIMENSIONS + 1))
-            self._move(1, rows, grad / n)
-            self._meet(1, every.ravel())
-        dr = dr[:, :-1]
-        moved = np.stack([np.einsum("nd,nd->d", dr, self._vectors(near[j])) for j in range(CONTEXT)])
-        near, dr = near.ravel(), (self.C[:, None, :] * dr).reshape(-1, DIMENSIONS)
-        rows, grad = _add_up(self.of[near], dr)
-        self._move(4, rows, grad / n)
-        self._meet(4, self.of[near])
-        among = np.flatnonzero(~self.alone[near])
-        if len(among):
-            rows, grad = _add_up(near[among], dr[among])
-            self._move(0, rows, grad / n)
-            self._meet(0, near[among])
-        self._move(3, np.arange(CONTEXT), moved / n)
-        self.met[3] += n
-
-    def log10(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 of the normalised probabilities of target words."""
+            rows, times, order, begins = _grouped(every)
+            self._move(1, rows, times, _sums((g[:, :, None] * ra).reshape(-1, DIMENSIONS + 1), order, begins) / n)
+        full = np.zeros((len(said) - CONTEXT, DIMENSIONS), np.float32)
+        full[real] = dr[:, :-1]
+        m, dv, moved = len(full), np.zeros_like(v), np.empty_like(self.C)
+        for j in range(CONTEXT):
+            part = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + m)
+            moved[j] = np.einsum("nd,nd->d", full, v[part])
+            dv[part] += self.C[j] * full
+        rows, times, order, begins = _grouped(said)
+        sums = _sums(dv, order, begins) / n
+        classes, _, by, starts = _grouped(self.of[rows])
+        self._move(4, classes, np.add.reduceat(times[by], starts), _sums(sums, by, starts))
+        several = ~self.alone[rows]
+        self._move(0, rows[several], times[several], sums[several])
+        self._move(3, np.arange(CONTEXT), np.float32(n), moved / n)
+
+    def log10(self, said: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """log10 of the normalised probabilities of the words at the real places."""
+        target = said[CONTEXT:][real]
         out = np.zeros(len(target))
         contexts = np.empty((len(target), DIMENSIONS + 1), np.float32)
         c = self.of[target]
 
-        def normalised(r, vectors, chosen):
+        def logs(r, vectors, chosen):
             s = r @ vectors.T
-            s -= s.max(1, keepdims=True)
+            if s.max() > 60:
+                s -= s.max(1, keepdims=True)
             own = s[np.arange(len(s)), chosen].astype(np.float64)
             np.exp(s, out=s)
-            return (own - np.log(s.sum(1, dtype=np.float64))) / np.log(10)
-
-        for at in range(0, len(target), AT_ONCE):
-            part = slice(at, at + AT_ONCE)
-            contexts[part] = self._context(near[:, part])
-            out[part] = normalised(contexts[part], self.P, c[part])
+            return (own - np.log(s.sum(1))) / np.log(10)
+
+        at = 0
+        for begin in range(0, len(said) - CONTEXT, AT_ONCE):
+            stop = min(begin + AT_ONCE, len(said) - CONTEXT)
+            some = real[np.searchsorted(real, begin) : np.searchsorted(real, stop)]
+            part = slice(at, at + len(some))
+            contexts[part] = self._context(said[begin : stop + CONTEXT])[1][some - begin]
+            if len(some):
+                out[part] = logs(contexts[part], self.P, c[part])
+            at += len(some)
         among = np.flatnonzero(~self.alone[target])
         among = among[np.argsort(c[among], kind="stable")]
         for run in np.split(among, np.flatnonzero(np.diff(c[among])) + 1):
             for at in range(0, len(run), AT_ONCE):
                 some = run[at : at + AT_ONCE]
                 low, high = self.bounds[c[some[0]]], self.bounds[c[some[0]] + 1]
-                out[some] += normalised(contexts[some], self.W[low:high], target[some] - low)
+                out[some] += logs(contexts[some], self.W[low:high], target[some] - low)
         return out
 
 
-def contexts(classes: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context classes, nearest first, and target classes of several texts; before a text stand ends."""
+def laid_out(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Several texts' words in one row, ends before each, and the places of the words, counted after the first CONTEXT."""
+    pad = np.full(CONTEXT, end, np.int32)
+    said = np.concatenate([x for t in texts for x in (pad, t)])
+    begins = np.cumsum([0, *(len(t) + CONTEXT for t in texts[:-1])])
+    lengths = np.array([len(t) for t in texts])
+    return said, np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def pieces(texts: list[np.ndarray], end: int, rng: np.random.Generator):
+    """Batches of the texts' words for learning, as laid_out gives them: pieces of PIECE words with what stands before them, shuffled."""
     pad = np.full(CONTEXT, end, np.int32)
-    joined = np.concatenate([x for c in classes for x in (pad, c)])
-    real = np.concatenate([x for c in classes for x in (np.zeros(CONTEXT, bool), np.ones(len(c), bool))])
-    at = np.flatnonzero(real)
-    return np.stack([joined[at - j] for j in range(1, CONTEXT + 1)]), joined[at]
+    cut = []
+    for t in texts:
+        t = np.concatenate([pad, t])
+        cut += [t[k : k + PIECE + CONTEXT] for k in range(0, len(t) - CONTEXT, PIECE)]
+    order, at = rng.permutation(len(cut)), 0
+    while at < len(order):
+        some = [cut[k] for k in order[at : at + BATCH // PIECE]]
+        lengths = np.array([len(x) for x in some])
+        place = np.ones(lengths.sum(), bool)
+        begins = np.cumsum(lengths) - lengths
+        place[(begins[:, None] + np.arange(CONTEXT)).ravel()] = False
+        yield np.concatenate(some), np.flatnonzero(place) - CONTEXT
+        at += len(some)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import materialize, sole_cache, text_of
-from palisade.llm.lbl import BATCH, END, LogBilinear, Vocabulary, contexts
+from palisade.llm.lbl import END, LogBilinear, Vocabulary, laid_out, pieces
 
 #: At most so many words are frequent: the part of the counts that is broadcast (64 bytes a word at most).
 FREQUENT, FREQUENT_CHARS = 262_144, 16
@@ -18,6 +17,10 @@ FREQUENT, FREQUENT_CHARS = 262_144, 16
 COUNT_AT_ONCE = 200_000
 #: Words that are scored, or learned from, at once.
 WORDS_AT_ONCE = 65_536
+#: Training words of a shard: documents are dealt to so many learners by what they hold, whatever the table's files and partitions.
+SHARD = 5_000_000
+#: Steps of a whole number in which changes are added, so that their order does not matter.
+UNITS = 1 << 24
 #: Tasks that add up the trained parameters, and rows of a table that stay together; the driver gets one set in all.
 ADDERS, BLOCK = 16, 4096
 
@@ -55,36 +58,41 @@ def _count(batches):
 
 
 def _learn(shared):
-    def run(batches):
-        import pyarrow as pa
+    """Learns from the rows of each shard, which come together and in order, from the same start."""
 
+    def run(batches):
         vocabulary, model = _once(shared)
-        part = TaskContext.get()
-        rng = np.random.default_rng(part.partitionId() if part else 0)
-        start, classes, n = [t.copy() for t in model.tables], [], 0
+        now, rng, start, texts, n = None, None, [], [], 0
+        end = vocabulary.class_of[vocabulary.end]
 
         def step():
-            near, target = contexts(classes, vocabulary.class_of[vocabulary.end])
-            order = rng.permutation(len(target))
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
-                model.learn(near[:, pick], target[pick], rng)
+            for said, real in pieces(texts, end, rng):
+                model.learn(said, real, rng)
+
+        def changes():
+            step()
+            for table, (before, after) in enumerate(zip(start, model.tables, strict=True)):
+                met = model.met[table] if model.met else np.zeros(0, np.float32)
+                rows = np.flatnonzero(met).astype(np.int32)
+                for block in np.split(rows, np.flatnonzero(np.diff(rows // BLOCK)) + 1):
+                    if len(block):
+                        yield _moves([(table, int(block[0]) // BLOCK, block, met[block], ((after[block] - before[block]) * met[block, None]).astype(np.float32))])
 
         for batch in batches:
-            for text in batch.column("text"):
-                classes.append(vocabulary.class_of[vocabulary.encode(text.as_py().encode())[1]])
-                n += len(classes[-1])
+            for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text"), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield from changes()
+                        model = _once(shared)[1]
+                    now, rng, texts, n = shard, np.random.default_rng(shard), [], 0
+                    start = [t.copy() for t in model.tables]
+                texts.append(vocabulary.class_of[vocabulary.encode(text.as_py().encode("utf-8", "replace"))[1]])
+                n += len(texts[-1])
                 if n >= WORDS_AT_ONCE:
                     step()
-                    classes, n = [], 0
-        if classes:
-            step()
-        for table, (before, after) in enumerate(zip(start, model.tables, strict=True)):
-            met = model.met[table] if model.met else np.zeros(0, np.float32)
-            rows = np.flatnonzero(met).astype(np.int32)
-            for block in np.split(rows, np.flatnonzero(np.diff(rows // BLOCK)) + 1):
-                if len(block):
-                    yield _moves([(table, int(block[0]) // BLOCK, block, met[block], (after[block] - before[block]) * met[block, None])])
+                    texts, n = [], 0
+        if now is not None:
+            yield from changes()
 
     return run
 
@@ -95,26 +103,27 @@ MOVES = "t int, block int, rows binary, met binary, moved binary"
 def _moves(found):
     import pyarrow as pa
 
-    cols = zip(*[(t, b, rows.tobytes(), met.tobytes(), moved.astype(np.float32).tobytes()) for t, b, rows, met, moved in found], strict=True)
+    cols = zip(*[(t, b, rows.tobytes(), met.tobytes(), moved.tobytes()) for t, b, rows, met, moved in found], strict=True)
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["t", "block", "rows", "met", "moved"])
 
 
-def _unpacked(rows: bytes, met: bytes, moved: bytes):
+def _unpacked(rows: bytes, met: bytes, moved: bytes, kind: type):
     rows = np.frombuffer(rows, np.int32)
-    return rows, np.frombuffer(met, np.float32), np.frombuffer(moved, np.float32).reshape(len(rows), -1)
+    return rows, np.frombuffer(met, np.float32 if kind is np.float32 else np.int64), np.frombuffer(moved, kind).reshape(len(rows), -1)
 
 
 def _add(batches):
+    """Sums of whole numbers, the same in any order."""
     sums: dict = {}
     for batch in batches:
         for t, block, *packed in zip(*[batch.column(c).to_pylist() for c in ("t", "block", "rows", "met", "moved")], strict=True):
-            rows, met, moved = _unpacked(*packed)
+            rows, met, moved = _unpacked(*packed, np.float32)
             if (t, block) not in sums:
-                sums[t, block] = np.zeros(BLOCK, np.float32), np.zeros((BLOCK, moved.shape[1]), np.float32)
+                sums[t, block] = np.zeros(BLOCK, np.int64), np.zeros((BLOCK, moved.shape[1]), np.int64)
             n, total = sums[t, block]
-            n[rows - block * BLOCK] += met
-            total[rows - block * BLOCK] += moved
+            n[rows - block * BLOCK] += met.astype(np.int64)
+            total[rows - block * BLOCK] += np.rint(moved.astype(np.float64) * UNITS).astype(np.int64)
     for (t, block), (n, total) in sums.items():
         rows = np.flatnonzero(n).astype(np.int32)
         yield _moves([(t, block, rows + np.int32(block * BLOCK), n[rows], total[rows])])
@@ -133,8 +142,7 @@ def _score(shared):
 
         def rows(part, texts):
             ids = [x[1] for x in texts]
-            near, target = contexts([vocabulary.class_of[i] for i in ids], vocabulary.class_of[vocabulary.end])
-            log = model.log10(near, target)
+            log = model.log10(*laid_out([vocabulary.class_of[i] for i in ids], vocabulary.class_of[vocabulary.end]))
             at, cols = 0, {k: [] for k in ("n_tokens", "n_known", "base", "lm", "n_tail", "tails")}
             for tokens, i in texts:
                 rest = np.flatnonzero(i == last)
@@ -169,10 +177,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents whose crc32 of the id as text leaves the remainder ``fold`` are held
     out; a null id counts as an empty text. All others are counted, whole, and the
-    model learns from all of them: each task learns from its documents, from the
-    same start, and each row's changes are averaged by how often a task met it. base_score is the
+    model learns from all of them: documents are dealt to shards by hashes of id and
+    text, a number of shards that follows from the words counted; each shard is
+    learned in order of those, from the same start, and each row's changes are
+    averaged by how often a shard met it. So the scores do not depend on how the table
+    is split (but for the last digits of single-precision products). base_score is the
     smoothed unigram's, score the model's; both are log10 of a text's probability.
-    Null and empty texts hold the end alone. Repeated rows each count and each give a row.
+    Null and empty texts hold the end alone. Repeated rows each count and each give a
+    row; equal rows learn in one shard.
     An empty table gives an empty result.
 
     The frequent words' counts are broadcast (``FREQUENT`` at most). Counts of all
@@ -205,10 +217,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     vocabulary = Vocabulary(words, numbers, total, types)
     model = LogBilinear(vocabulary.prior)
-    changes = train.mapInArrow(_learn(share(None)), MOVES)
+    # Up to 512 shards of SHARD words; then 512 larger ones, up to 200 times as large; then more.
+    shards = max(1, min(-(-total // SHARD), 512), -(-total // (200 * SHARD)))
+    keys = [F.xxhash64("id", "text"), F.xxhash64(F.lit(1), "id", "text")]
+    dealt = take.where(~F.col("held_out")).select(F.pmod(keys[0], F.lit(shards)).cast("int").alias("shard"), keys[0].alias("k1"), keys[1].alias("k2"), "text")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "k1", "k2").select("shard", "text")
+    changes = dealt.mapInArrow(_learn(share(None)), MOVES)
     for r in changes.repartition(ADDERS, "t", "block").mapInArrow(_add, MOVES).toLocalIterator():
-        rows, met, moved = _unpacked(r.rows, r.met, r.moved)
-        model.tables[r.t][rows] += moved / met[:, None]
+        rows, met, moved = _unpacked(r.rows, r.met, r.moved, np.int64)
+        model.tables[r.t][rows] += (moved / (UNITS * met[:, None])).astype(np.float32)
 
     kind = take.schema["id"].dataType.simpleString()
     scored = take.mapInArrow(_score(share(model.tables)), f"id {kind}, {DOC}").withColumn("row", F.monotonically_increasing_id())

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from palisade.llm import lmscore
-from palisade.llm.lbl import LogBilinear, Vocabulary, contexts
+from palisade.llm.lbl import CONTEXT, LogBilinear, Vocabulary, laid_out, pieces
 from palisade.llm.lmscore import score_documents
 from tests.llm.helpers import ODD, docs, prose
 
@@ -46,16 +46,43 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in got) > 0.97 * sum(r.base_score for r in got)
 
 
+def after(model, context, words):
+    """log10 of the probability of each word after a context."""
+    texts = [np.append(context, k).astype(np.int32) for k in range(words)]
+    said = np.concatenate(texts)
+    return model.log10(said, np.arange(words) * (CONTEXT + 1))
+
+
+def test_pieces_hold_each_word_once_with_its_context():
+    texts = [np.arange(k * 1000, k * 1000 + n, dtype=np.int32) for k, n in enumerate((1, 63, 64, 65, 500))]
+    found = []
+    for said, real in pieces(texts, -1, np.random.default_rng(1)):
+        for k in real:
+            found.append(tuple(said[k : k + CONTEXT + 1]))
+    want = [tuple(np.concatenate([np.full(CONTEXT, -1), t])[k : k + CONTEXT + 1]) for t in texts for k in range(len(t))]
+    assert sorted(found) == sorted(want)
+    said, real = laid_out(texts, -1)
+    assert [tuple(said[k : k + CONTEXT + 1]) for k in real] == want
+
+
+def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "SHARD", 3000)
+    monkeypatch.setattr(lmscore, "FREQUENT", 100)
+    df = docs(spark, corpus() + ODD)
+    first, second = ({(r.doc_id, r.n_tokens): r.score for r in score_documents(d).collect()} for d in (df.coalesce(1), df.repartition(7)))
+    assert first.keys() == second.keys() and all(abs(first[k] - second[k]) < 1e-6 * abs(first[k]) for k in first)
+
+
 def test_probabilities_sum_to_one():
     words = [f"w{k}" for k in range(300)] + [" "]
     counts = np.arange(len(words), 0, -1).astype(float)
     vocabulary = Vocabulary(words, counts, int(counts.sum()) + 50, len(words) + 20)
     model = LogBilinear(vocabulary.prior)
-    near, target = contexts([vocabulary.class_of[vocabulary.encode(b"w1 w2 w250 zzz")[1]]], vocabulary.class_of[vocabulary.end])
+    said, real = laid_out([vocabulary.class_of[vocabulary.encode(b"w1 w2 w250 zzz")[1]]], vocabulary.class_of[vocabulary.end])
     classes = len(vocabulary.prior)
-    for k in range(near.shape[1]):
-        every = model.log10(np.repeat(near[:, k : k + 1], classes, 1), np.arange(classes))
-        assert abs((10**every).sum() - 1) < 1e-5
+    for k in real:
+        assert abs((10 ** after(model, said[k : k + CONTEXT], classes)).sum() - 1) < 1e-5
+    target = said[CONTEXT:][real]
     shares = np.bincount(vocabulary.class_of[:-1], weights=10 ** vocabulary.share[:-1], minlength=classes)
     used = np.bincount(vocabulary.class_of[:-1], minlength=classes) > 0
     assert np.allclose(shares[used], 1) and target[-1] == vocabulary.class_of[vocabulary.end]
@@ -67,17 +94,17 @@ def test_context_tells_every_frequent_word_apart():
     vocabulary = Vocabulary(words, np.full(len(words), 9.0), 9 * len(words), len(words))
     model = LogBilinear(vocabulary.prior)
     rng = np.random.default_rng(1)
-    for _ in range(200):
+    end = vocabulary.class_of[vocabulary.end]
+    for _ in range(400):
         pairs = rng.integers(0, 2, 200)
-        near, target = contexts([vocabulary.class_of[vocabulary.encode(b"w1000 w2000" if p else b"w1001 w2001")[1]] for p in pairs], vocabulary.class_of[vocabulary.end])
-        model.learn(near, target, rng)
-    texts = [b"w1000 w2000", b"w1000 w2001"]
-    encoded = [vocabulary.encode(t)[1] for t in texts]
-    near, target = contexts([vocabulary.class_of[e] for e in encoded], vocabulary.class_of[vocabulary.end])
-    seen, unseen = (model.log10(near, target) + vocabulary.share[np.concatenate(encoded)]).reshape(2, 3)[:, 1]
+        texts = [vocabulary.class_of[vocabulary.encode(b"w1000 w2000" if p else b"w1001 w2001")[1]] for p in pairs]
+        for said, real in pieces(texts, end, rng):
+            model.learn(said, real, rng)
+    encoded = [vocabulary.class_of[vocabulary.encode(t)[1]] for t in (b"w1000 w2000", b"w1000 w2001")]
+    said, real = laid_out(encoded, end)
+    seen, unseen = model.log10(said, real).reshape(2, 3)[:, 1]
     assert seen > unseen + 0.2 and seen > -1
-    every = model.log10(np.repeat(near[:, 1:2], len(words) + 1, 1), np.arange(len(words) + 1))
-    assert len(model.bounds) < len(words) and abs((10**every).sum() - 1) < 1e-4
+    assert len(model.bounds) < len(words) and abs((10 ** after(model, said[1 : 1 + CONTEXT], len(words) + 1)).sum() - 1) < 1e-4
 
 
 def test_empty_table(spark):
