@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -17,12 +18,12 @@ FREQUENT, FREQUENT_CHARS = 262_144, 16
 COUNT_AT_ONCE = 200_000
 #: Words that are scored, or learned from, at once.
 WORDS_AT_ONCE = 65_536
-#: Training words of a shard: documents are dealt to so many learners by what they hold, whatever the table's files and partitions.
-SHARD = 5_000_000
+#: Documents are dealt to learners by what they hold, whatever the table's files and partitions: to as many as the root of the training words over this.
+SHARD = 50_000
 #: Steps of a whole number in which changes are added, so that their order does not matter.
 UNITS = 1 << 24
-#: Tasks that add up the trained parameters, and rows of a table that stay together; the driver gets one set in all.
-ADDERS, BLOCK = 16, 4096
+#: Least and most tasks that add up the trained parameters, and rows of a table that stay together; the driver gets one set in all.
+ADDERS, BLOCK = (16, 128), 4096
 
 _LOADED: dict = {}
 
@@ -217,13 +218,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     vocabulary = Vocabulary(words, numbers, total, types)
     model = LogBilinear(vocabulary.prior)
-    # Up to 512 shards of SHARD words; then 512 larger ones, up to 200 times as large; then more.
-    shards = max(1, min(-(-total // SHARD), 512), -(-total // (200 * SHARD)))
+    # Twice as many shards, each twice as large, for four times the words.
+    shards = max(1, math.ceil((total / SHARD) ** 0.5))
     keys = [F.xxhash64("id", "text"), F.xxhash64(F.lit(1), "id", "text")]
     dealt = take.where(~F.col("held_out")).select(F.pmod(keys[0], F.lit(shards)).cast("int").alias("shard"), keys[0].alias("k1"), keys[1].alias("k2"), "text")
     dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "k1", "k2").select("shard", "text")
     changes = dealt.mapInArrow(_learn(share(None)), MOVES)
-    for r in changes.repartition(ADDERS, "t", "block").mapInArrow(_add, MOVES).toLocalIterator():
+    for r in changes.repartition(min(max(ADDERS[0], shards), ADDERS[1]), "t", "block").mapInArrow(_add, MOVES).toLocalIterator():
         rows, met, moved = _unpacked(r.rows, r.met, r.moved, np.int64)
         model.tables[r.t][rows] += (moved / (UNITS * met[:, None])).astype(np.float32)
 

@@ -66,7 +66,7 @@ def test_pieces_hold_each_word_once_with_its_context():
 
 
 def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
-    monkeypatch.setattr(lmscore, "SHARD", 3000)
+    monkeypatch.setattr(lmscore, "SHARD", 500)
     monkeypatch.setattr(lmscore, "FREQUENT", 100)
     df = docs(spark, corpus() + ODD)
     first, second = ({(r.doc_id, r.n_tokens): r.score for r in score_documents(d).collect()} for d in (df.coalesce(1), df.repartition(7)))
