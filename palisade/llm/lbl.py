@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 16, 48, 2048, 0.25
+CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 12, 32, 2048, 0.25
 #: Groups of words by shape, the most frequent words included; so many times the root of the words is how many pieces they fall into beside.
 GROUPS, BY_ROOT = 160, 0.6
 #: Most frequent words that are always classes of their own.

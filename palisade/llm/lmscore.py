@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from palisade.llm.common import materialize, sole_cache, text_of
 from palisade.llm.lbl import END, LogBilinear, Vocabulary, laid_out, pieces
 
-#: At most so many words are frequent: the part of the counts that is broadcast (64 bytes a word at most).
-FREQUENT, FREQUENT_CHARS = 262_144, 16
+#: Frequent words have rows in the model: those seen so often, to learn from, and at most so many of them, as they are broadcast (64 bytes a word at most).
+LEAST, FREQUENT, FREQUENT_CHARS = 25, 262_144, 16
 #: Distinct words that a task counts before it passes them on.
 COUNT_AT_ONCE = 200_000
 #: Words that are scored, or learned from, at once.
 WORDS_AT_ONCE = 65_536
 #: Documents are dealt to learners by what they hold, whatever the table's files and partitions: to as many as the root of the training words over this.
-SHARD = 50_000
+SHARD = 400_000
 #: Steps of a whole number in which changes are added, so that their order does not matter.
 UNITS = 1 << 24
 #: Least and most tasks that add up the trained parameters, and rows of a table that stay together; the driver gets one set in all.
@@ -200,18 +200,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = train.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "counts")
 
-    # The frequent words: all counts at or above a bound that the sizes of logarithmic steps give.
+    # The frequent words: counts at or above a bound that the sizes of logarithmic steps give.
     step = F.floor(F.log2("n") * 64)
     long_word = F.octet_length("word") > 4 * FREQUENT_CHARS
-    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect()
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens"), F.max("n").alias("most")).collect()
     total, types = sum(r.tokens for r in steps), sum(r.types for r in steps)
     room, least = FREQUENT, None
     for r in sorted(steps, key=lambda r: -r.step):
+        if r.most < LEAST:
+            break
         room -= r.types
         if room < 0:
             break
         least = r.step
-    is_frequent = (step >= least) & ~long_word if least is not None else F.lit(False)
+    is_frequent = (step >= least) & (F.col("n") >= LEAST) & ~long_word if least is not None else F.lit(False)
     frequent = sorted(((r.word, r.n) for r in counts.where(is_frequent).collect()), key=lambda x: (-x[1], x[0]))
     words, numbers = [w for w, _ in frequent], np.array([n for _, n in frequent], np.float64)
     share = lambda tables: spark.sparkContext.broadcast((uuid.uuid4().hex, words, numbers, total, types, tables))
