@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 12, 32, 2048, 0.25
+CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 12, 32, 4096, 0.35
 #: Groups of words by shape, the most frequent words included; so many times the root of the words is how many pieces they fall into beside.
 GROUPS, BY_ROOT = 160, 0.6
 #: Most frequent words that are always classes of their own.
@@ -234,7 +234,8 @@ class LogBilinear:
 
         def logs(r, vectors, chosen):
             s = r @ vectors.T
-            if s.max() > 60:
+            # Exponentials of products that cannot be large need no shift.
+            if np.einsum("nd,nd->n", r, r).max() * np.einsum("nd,nd->n", vectors, vectors).max() > 3600:
                 s -= s.max(1, keepdims=True)
             own = s[np.arange(len(s)), chosen].astype(np.float64)
             np.exp(s, out=s)

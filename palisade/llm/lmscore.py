@@ -13,7 +13,7 @@ from palisade.llm.common import materialize, sole_cache, text_of
 from palisade.llm.lbl import END, LogBilinear, Vocabulary, laid_out, pieces
 
 #: Frequent words have rows in the model: those seen so often, to learn from, and at most so many of them, as they are broadcast (64 bytes a word at most).
-LEAST, FREQUENT, FREQUENT_CHARS = 25, 262_144, 16
+LEAST, FREQUENT, FREQUENT_CHARS = 100, 131_072, 16
 #: Distinct words that a task counts before it passes them on.
 COUNT_AT_ONCE = 200_000
 #: Words that are scored, or learned from, at once.
