@@ -269,8 +269,12 @@ def laid_out(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]
     return said, np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
-def pieces(texts: list[np.ndarray], end: int, rng: np.random.Generator):
-    """Batches of the texts' words for learning, as laid_out gives them: pieces of PIECE words with what stands before them, shuffled."""
+def pieces(texts: list[np.ndarray], end: int, rng: np.random.Generator, learned: int = 0):
+    """Batches of the texts' words for learning, as laid_out gives them: pieces of PIECE words with what stands before them, shuffled.
+
+    Batches grow to BATCH words with the number of those already learned from: small
+    ones get off the start in few words, large ones cost less.
+    """
     pad = np.full(CONTEXT, end, np.int32)
     cut = []
     for t in texts:
@@ -278,10 +282,12 @@ def pieces(texts: list[np.ndarray], end: int, rng: np.random.Generator):
         cut += [t[k : k + PIECE + CONTEXT] for k in range(0, len(t) - CONTEXT, PIECE)]
     order, at = rng.permutation(len(cut)), 0
     while at < len(order):
-        some = [cut[k] for k in order[at : at + BATCH // PIECE]]
+        size = min(max(learned // 8, BATCH // 16), BATCH)
+        some = [cut[k] for k in order[at : at + size // PIECE]]
         lengths = np.array([len(x) for x in some])
         place = np.ones(lengths.sum(), bool)
         begins = np.cumsum(lengths) - lengths
         place[(begins[:, None] + np.arange(CONTEXT)).ravel()] = False
         yield np.concatenate(some), np.flatnonzero(place) - CONTEXT
         at += len(some)
+        learned += int(place.sum())

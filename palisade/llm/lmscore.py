@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from palisade.llm.common import materialize, sole_cache, text_of
 from palisade.llm.lbl import END, LogBilinear, Vocabulary, laid_out, pieces
 
-#: Frequent words have rows in the model: those seen so often, to learn from, and at most so many of them, as they are broadcast (64 bytes a word at most).
-LEAST, FREQUENT, FREQUENT_CHARS = 100, 131_072, 16
+#: Frequent words have rows in the model: so many times the root of the training words, and at most so many, as they are broadcast (64 bytes a word at most).
+BY_ROOT, FREQUENT, FREQUENT_CHARS = 10, 131_072, 16
 #: Distinct words that a task counts before it passes them on.
 COUNT_AT_ONCE = 200_000
 #: Words that are scored, or learned from, at once.
@@ -63,11 +63,11 @@ def _learn(shared):
 
     def run(batches):
         vocabulary, model = _once(shared)
-        now, rng, start, texts, n = None, None, [], [], 0
+        now, rng, start, texts, n, learned = None, None, [], [], 0, 0
         end = vocabulary.class_of[vocabulary.end]
 
         def step():
-            for said, real in pieces(texts, end, rng):
+            for said, real in pieces(texts, end, rng, learned):
                 model.learn(said, real, rng)
 
         def changes():
@@ -85,13 +85,13 @@ def _learn(shared):
                     if now is not None:
                         yield from changes()
                         model = _once(shared)[1]
-                    now, rng, texts, n = shard, np.random.default_rng(shard), [], 0
+                    now, rng, texts, n, learned = shard, np.random.default_rng(shard), [], 0, 0
                     start = [t.copy() for t in model.tables]
                 texts.append(vocabulary.class_of[vocabulary.encode(text.as_py().encode("utf-8", "replace"))[1]])
                 n += len(texts[-1])
                 if n >= WORDS_AT_ONCE:
                     step()
-                    texts, n = [], 0
+                    texts, n, learned = [], 0, learned + n
         if now is not None:
             yield from changes()
 
@@ -188,7 +188,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row; equal rows learn in one shard.
     An empty table gives an empty result.
 
-    The frequent words' counts are broadcast (``FREQUENT`` at most). Counts of all
+    The frequent words' counts are broadcast (``FREQUENT`` at most; their number grows
+    with the root of the training words). Counts of all
     others meet the documents in a join by word, which the frequent never enter.
     """
     import uuid
@@ -203,17 +204,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The frequent words: counts at or above a bound that the sizes of logarithmic steps give.
     step = F.floor(F.log2("n") * 64)
     long_word = F.octet_length("word") > 4 * FREQUENT_CHARS
-    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens"), F.max("n").alias("most")).collect()
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect()
     total, types = sum(r.tokens for r in steps), sum(r.types for r in steps)
-    room, least = FREQUENT, None
+    room, least = min(FREQUENT, math.ceil(BY_ROOT * total**0.5)), None
     for r in sorted(steps, key=lambda r: -r.step):
-        if r.most < LEAST:
-            break
         room -= r.types
         if room < 0:
             break
         least = r.step
-    is_frequent = (step >= least) & (F.col("n") >= LEAST) & ~long_word if least is not None else F.lit(False)
+    is_frequent = (step >= least) & ~long_word if least is not None else F.lit(False)
     frequent = sorted(((r.word, r.n) for r in counts.where(is_frequent).collect()), key=lambda x: (-x[1], x[0]))
     words, numbers = [w for w, _ in frequent], np.array([n for _, n in frequent], np.float64)
     share = lambda tables: spark.sparkContext.broadcast((uuid.uuid4().hex, words, numbers, total, types, tables))

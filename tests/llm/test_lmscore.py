@@ -31,7 +31,6 @@ def corpus():
 
 def test_base_counts_and_scores(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "FREQUENT", 60)
-    monkeypatch.setattr(lmscore, "LEAST", 4)
     rows = corpus() + ODD
     got = score_documents(docs(spark, rows, extra=True)).collect()
     c = Counter(t for i, x, *_ in rows if not out_of(i) for t in tokens(x))
@@ -69,7 +68,6 @@ def test_pieces_hold_each_word_once_with_its_context():
 def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "SHARD", 500)
     monkeypatch.setattr(lmscore, "FREQUENT", 100)
-    monkeypatch.setattr(lmscore, "LEAST", 2)
     df = docs(spark, corpus() + ODD)
     first, second = ({(r.doc_id, r.n_tokens): r.score for r in score_documents(d).collect()} for d in (df.coalesce(1), df.repartition(7)))
     assert first.keys() == second.keys() and all(abs(first[k] - second[k]) < 1e-6 * abs(first[k]) for k in first)
