@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Keys that move when lines move; they are no part of an identity.
-PLACE_KEYS = frozenset("line line_number start_line end_line start end span base_span head_span reference_count".split())
+# Keys that tell a place, left out of identities.
+PLACE_KEYS = frozenset(("line", "line_number", "start_line", "end_line", "start", "end", "span", "base_span", "head_span", "reference_count"))
 LARGEST = 2**53 - 1
 
 

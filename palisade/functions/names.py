@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 PYTHON_SUFFIXES = ("py",)
 TYPESCRIPT_SUFFIXES = ("ts", "mts", "cts")
 JAVASCRIPT_SUFFIXES = ("js", "jsx", "mjs", "cjs")
-TEXT_SUFFIXES = tuple("md markdown txt rst toml yaml yml json json5 ini cfg conf env lock csv tsv xml html htm css scss less svg sql proto graphql gql sh bash zsh ps1 bat cmd".split())
+TEXT_SUFFIXES = ("md", "markdown", "txt", "rst", "toml", "yaml", "yml", "json", "json5", "ini", "cfg", "conf", "env", "lock", "csv", "tsv", "xml", "html", "htm", "css", "scss", "less", "svg", "sql", "proto", "graphql", "gql", "sh", "bash", "zsh", "ps1", "bat", "cmd")
 
 
 def path_suffix(path: Column) -> Column:

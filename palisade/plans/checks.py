@@ -42,7 +42,8 @@ DEFECTS = {
     "SEC-DANGEROUS-CALL": ("dangerous_call", "call_site"),
 }
 # Endings of code files, analysable or not.
-CODE_ENDINGS = tuple("py pyi ts tsx js jsx mjs cjs mts cts go rs java kt kts c cc cpp cxx h hpp cs rb php swift scala lua ex exs erl hrl".split())
+CODE_ENDINGS = ("py", "pyi", "ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts", "go", "rs", "java", "kt", "kts", "c", "cc", "cpp", "cxx", "h", "hpp", "cs", "rb", "php", "swift", "scala", "lua", "ex", "exs", "erl", "hrl")
+SCRIPTS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts")
 BUILTINS = tuple(sorted(n for n in dir(__builtins__ if not isinstance(__builtins__, dict) else __import__("builtins")) if n[0].islower()))
 
 
@@ -401,10 +402,11 @@ def security(c: Change) -> tuple[DataFrame, DataFrame]:
 
 
 def semantic(c: Change) -> tuple[DataFrame, DataFrame]:
-    """Guards, errors and bindings of changed Python functions that protect less than before."""
+    """Guards, errors and bindings of changed functions that protect less than before; of scripts, guards."""
     from palisade.plans.semantics import compare
 
-    pairs = c.entries.where("status = 'modified' and not is_binary and path like '%.py'").select("run_id", "path", F.col("base_content").alias("base"), F.col("head_content").alias("head"))
+    read = names.path_suffix(F.col("path")).isin("py", *SCRIPTS)
+    pairs = c.entries.where("status = 'modified' and not is_binary").where(read).select("run_id", "path", F.col("base_content").alias("base"), F.col("head_content").alias("head"))
     rules = c.rules.where("section in ('protected_guards', 'protected_errors')").groupBy("run_id").agg(F.to_json(F.collect_list(F.struct("section", "rule_id", "regexes", "detail"))).alias("rules"))
     found = pairs.join(rules, "run_id", "left").mapInPandas(compare, "run_id string, path string, kind string, code string, symbol string, line int, identity string")
     found = settle(found)

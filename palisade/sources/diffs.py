@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,14 +52,72 @@ def parse_patch(patch: str) -> dict[str, list[tuple[int, int, int, int]]]:
     return out
 
 
+#: Pairs of lines that are compared at once; longer stretches are cut at lines that stand once on either side.
+COMPARED = 4_000_000
+
+
+def _lines(text: str | None) -> list[str]:
+    """Lines as Git counts them: only line feeds end one."""
+    found = (text or "").split("\n")
+    return found[:-1] if not found[-1] else found
+
+
+def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of lines that stand once in both, the longest run of them that rises in both."""
+    once = lambda x: {line: k for k, line in enumerate(x) if n[line] == 1}
+    n = Counter(a)
+    mine = once(a)
+    n = Counter(b)
+    pairs = sorted((mine[line], k) for line, k in once(b).items() if line in mine)
+    tops, back, at = [], [], []
+    for i, (_, k) in enumerate(pairs):
+        j = bisect.bisect_left(tops, k)
+        back.append(at[j - 1] if j else -1)
+        tops[j:], at[j:] = [k, *tops[j + 1 :]], [i, *at[j + 1 :]]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = back[i]
+    return out[::-1]
+
+
+def _changes(a: list[str], b: list[str], i: int, k: int):
+    """(start, end, start, end) of stretches that differ, by lines counted from i and k."""
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[len(a) - 1 - last] == b[len(b) - 1 - last]:
+        last += 1
+    a, b, i, k = a[first : len(a) - last], b[first : len(b) - last], i + first, k + first
+    if not a or not b:
+        if a or b:
+            yield i, i + len(a), k, k + len(b)
+    elif len(a) * len(b) <= COMPARED:
+        for op, s, e, t, u in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            if op != "equal":
+                yield i + s, i + e, k + t, k + u
+    elif not (cuts := _anchors(a, b)):
+        yield i, i + len(a), k, k + len(b)
+    else:
+        s = t = 0
+        for x, y in [*cuts, (len(a), len(b))]:
+            yield from _changes(a[s:x], b[t:y], i + s, k + t)
+            s, t = x + 1, y + 1
+
+
 def line_hunks(base: str | None, head: str | None) -> list[tuple[int, int, int, int]]:
-    """Hunks between two texts in Git's numbers: a side without lines starts at the line before."""
-    a, b = (base or "").splitlines(), (head or "").splitlines()
-    out = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op != "equal":
-            out.append((i + 1 if j > i else i, j - i, k + 1 if m > k else k, m - k))
-    return out
+    """Hunks between two texts in Git's numbers: a side without lines starts at the line before.
+
+    Long stretches without a line that stands once on either side are one hunk.
+    """
+    a, b = base or "", head or ""
+    ends = a[-1:] != "\n", b[-1:] != "\n"
+    a, b = _lines(a), _lines(b)
+    if a and b and ends[0] != ends[1]:  # a last line without its end is another line
+        side = a if ends[0] else b
+        side[-1] += "\n"
+    return [(i + 1 if j > i else i, j - i, k + 1 if m > k else k, m - k) for i, j, k, m in _changes(a, b, 0, 0)]
 
 
 def _hunks(batches):

@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 
 MAX_BLOB = 64 * 1024 * 1024
 FILES = "run_id string, side string, path string, mode string, blob_id string, content binary"
-# Fault codes by what Git says, in the order they are tried.
+# Fault codes by what Git says (all of these words), in the order they are tried; anything else is a missing object.
 FAULTS = [
-    ("ambiguous", "ambiguous_merge_base"),
-    ("shallow", "shallow_history"),
-    ("not a git repository", "invalid_repository"),
-    ("missing", "missing_git_object"),
-    ("bad object", "missing_git_object"),
-    ("unknown revision", "missing_git_object"),
+    (("shallow",), "shallow_history"),
+    (("ambiguous", "merge"), "ambiguous_merge_base"),
+    (("not a git repository",), "invalid_repository"),
+    (("cannot change to",), "invalid_repository"),
+    (("unable to read",), "provenance_integrity_error"),
+    (("corrupt",), "provenance_integrity_error"),
 ]
 
 
+def fault_of(said: str) -> str:
+    """The fault code of what a failed Git command said."""
+    low = said.lower()
+    return next((code for words, code in FAULTS if all(w in low for w in words)), "missing_git_object")
+
+
 class GitError(Exception):
     def __init__(self, code: str, detail: str = ""):
         super().__init__(f"{code}: {detail[:200]}")
@@ -31,15 +37,33 @@ def git(repo: str, *args: str, data: bytes | None = None) -> bytes:
     """Output of a Git command that runs no hooks, filters or helpers of the user's."""
     env = {k: v for k, v in os.environ.items() if not k.startswith("GIT_")} | {"GIT_CONFIG_NOSYSTEM": "1", "GIT_CONFIG_GLOBAL": os.devnull, "GIT_TERMINAL_PROMPT": "0", "GIT_NO_LAZY_FETCH": "1", "LC_ALL": "C"}
     command = ["git", "-C", repo, "-c", f"core.hooksPath={os.devnull}", "-c", "core.fsmonitor=false", "-c", f"core.attributesFile={os.devnull}", "-c", "safe.directory=*", *args]
-    done = subprocess.run(command, input=data, capture_output=True, env=env, timeout=120)
+    try:
+        done = subprocess.run(command, input=data, capture_output=True, env=env, timeout=120)
+    except (FileNotFoundError, subprocess.TimeoutExpired) as e:
+        raise GitError("internal_fault", str(e)) from e
     if done.returncode:
         said = done.stderr.decode("utf-8", "replace")
-        raise GitError(next((code for part, code in FAULTS if part in said.lower()), "provenance_integrity_error"), said)
+        raise GitError(fault_of(said), said)
     return done.stdout
 
 
-def merge_base(repo: str, base: str, head: str) -> str:
-    """The one merge base; several are ambiguous, none means a shallow history."""
+def merge_base(repo: str, base: str, head: str, explicit: str | None = None) -> str:
+    """The one merge base; several are ambiguous, none means a shallow history.
+
+    An explicit one must be an ancestor of both.
+    """
+    if any(not x or x.startswith("-") for x in (base, head)):
+        raise GitError("invalid_revision", f"{base} {head}")
+    if explicit:
+        if explicit.startswith("-"):
+            raise GitError("missing_git_object", explicit)
+        found = git(repo, "rev-parse", "--verify", explicit + "^{commit}").decode().strip()
+        for of in (base, head):
+            try:
+                git(repo, "merge-base", "--is-ancestor", found, of)
+            except GitError as e:
+                raise GitError("ambiguous_merge_base", "the explicit merge base is not a common ancestor") from e
+        return found
     try:
         found = git(repo, "merge-base", "--all", base, head).decode().split()
     except GitError:

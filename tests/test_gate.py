@@ -11,6 +11,8 @@ LIB = "def helper(a, b):\n    return a + b\n\n\ndef _private(x):\n    return x\n
 USE = "from pkg.lib import helper\n\n\ndef run():\n    return helper(1, 2)\n"
 GUARD = "def pay(user, amount):\n    if user.admin and amount > 0:\n        transfer(user, amount)\n"
 
+TS_GUARD = 'export function del(u: any, id: string) {\n  if (u.role === "admin") {\n    purge(id);\n  }\n}\n'
+
 # name: base files, head files, policy, wanted (check, outcome, coverage), wanted defects, wanted gap codes
 CASES = {
     "nothing": ({"a.py": LIB}, {"a.py": LIB}, "", ("deletion", "NOT_APPLICABLE", "COMPLETE"), set(), set()),
@@ -36,6 +38,12 @@ CASES = {
     "guard_inverted": ({"a.py": GUARD}, {"a.py": GUARD.replace("user.admin and amount > 0", "not (user.admin and amount > 0)")}, '[protected_guards.G]\neffects = ["transfer"]\n', ("semantic", "FAIL", "COMPLETE"), {"SEM-GUARD-INVERTED"}, set()),
     "guard_stronger": ({"a.py": GUARD}, {"a.py": GUARD.replace("amount > 0", "amount > 0 and user.active")}, '[protected_guards.G]\neffects = ["transfer"]\n', ("semantic", "PASS", "COMPLETE"), set(), set()),
     "guard_rewritten": ({"a.py": GUARD}, {"a.py": "def pay(user, amount):\n    if not user.admin:\n        return\n    if amount <= 0:\n        return\n    transfer(user, amount)\n"}, '[protected_guards.G]\neffects = ["transfer"]\n', ("semantic", "PASS", "COMPLETE"), set(), set()),
+    "guard_beside": ({"a.py": GUARD}, {"a.py": GUARD + "    transfer(user, 2)\n"}, '[protected_guards.G]\neffects = ["transfer"]\n', ("semantic", "FAIL", "COMPLETE"), {"SEM-GUARD-REMOVED"}, set()),
+    "guards_swapped": ({"a.py": "def f(a, b):\n    if a:\n        go(1)\n    if b:\n        go(2)\n"}, {"a.py": "def f(a, b):\n    if b:\n        go(1)\n    if a:\n        go(2)\n"}, '[protected_guards.G]\neffects = ["go"]\n', ("semantic", "FAIL", "COMPLETE"), {"SEM-GUARD-WEAKENED"}, set()),
+    "guard_once_of_two": ({"a.py": "def f(a, b):\n    if a:\n        go(1)\n    if b:\n        go(1)\n"}, {"a.py": "def f(a, b):\n    if a or b:\n        go(1)\n"}, '[protected_guards.G]\neffects = ["go"]\n', ("semantic", "PASS", "COMPLETE"), set(), set()),
+    "ts_guard_removed": ({"s/a.ts": TS_GUARD}, {"s/a.ts": "export function del(u: any, id: string) {\n  purge(id);\n}\n"}, '[protected_guards.G]\neffects = ["purge"]\n', ("semantic", "FAIL", "COMPLETE"), {"SEM-GUARD-REMOVED"}, set()),
+    "ts_guard_kept": ({"s/a.ts": TS_GUARD}, {"s/a.ts": TS_GUARD.replace("purge(id)", "log(id); purge(id)")}, '[protected_guards.G]\neffects = ["purge"]\n', ("semantic", "PASS", "COMPLETE"), set(), set()),
+    "ts_guard_other": ({"s/a.ts": TS_GUARD}, {"s/a.ts": TS_GUARD.replace("admin", "guest")}, '[protected_guards.G]\neffects = ["purge"]\n', ("semantic", "INCONCLUSIVE", None), set(), {"solver_unknown"}),
     "error_removed": ({"a.py": "def f(x):\n    if x is None:\n        raise ValueError('x')\n    return x\n"}, {"a.py": "def f(x):\n    return x\n"}, '[protected_errors.E]\nraises = ["ValueError"]\n', ("semantic", "FAIL", "COMPLETE"), {"SEM-EXCEPTION-REMOVED"}, set()),
     "swap": ({"a.py": "def f(a, b):\n    return a, b\n"}, {"a.py": "def f(a, b):\n    return b, a\n"}, "", ("semantic", "FAIL", "COMPLETE"), {"SEM-BINDING-SWAP"}, set()),
     "eval_gap": ({"a.py": "def f(a):\n    return a\n"}, {"a.py": "def f(a):\n    return eval(a)\n"}, "", ("semantic", "INCONCLUSIVE", "PARTIAL"), {"SEC-DANGEROUS-CALL"}, {"dynamic_call"}),

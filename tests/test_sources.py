@@ -67,3 +67,59 @@ def test_git_snapshots(spark, tmp_path):
         git_tree.list_tree(str(tmp_path), "nope")
     except git_tree.GitError as e:
         assert e.code in ("missing_git_object", "provenance_integrity_error")
+
+
+def test_lines_end_as_git_ends_them():
+    from palisade.sources.diffs import line_hunks
+
+    assert line_hunks("a\x0cb\nc\n", "a\x0cb\nd\n") == [(2, 1, 2, 1)]
+    assert line_hunks("a\x85b\u2028c\n", "a\x85b\u2028c\nd\n") == [(1, 0, 2, 1)]
+    assert line_hunks("a\nb", "a\nb\n") == [(2, 1, 2, 1)]
+    assert line_hunks("a\r\nb\n", "a\nb\n") == [(1, 1, 1, 1)]
+    assert line_hunks(None, "x\n") == [(0, 0, 1, 1)] and line_hunks("", "") == []
+
+
+def test_long_texts_of_equal_lines_take_seconds():
+    import random
+    import time
+
+    from palisade.sources.diffs import line_hunks
+
+    began, blank = time.time(), "\n" * 100_000
+    assert line_hunks(blank, blank + "x\n" + blank) == [(100_000, 0, 100_001, 100_001)]
+    rng = random.Random(1)
+    lines = [f"line {k}" if rng.random() < 0.5 else "" for k in range(60_000)]
+    other = list(lines)
+    for k in range(0, 60_000, 7000):
+        other[k] = f"changed {k}"
+    assert line_hunks("\n".join(lines) + "\n", "\n".join(other) + "\n") == [(k + 1, 1, k + 1, 1) for k in range(0, 60_000, 7000)]
+    assert time.time() - began < 30
+
+
+def test_faults_of_git():
+    from palisade.sources.git_tree import fault_of
+
+    said = {
+        "fatal: ambiguous argument 'x': unknown revision or path not in the working tree.": "missing_git_object",
+        "fatal: Not a valid object name x": "missing_git_object",
+        "fatal: cannot change to '/none': No such file or directory": "invalid_repository",
+        "fatal: not a git repository (or any of the parent directories): .git": "invalid_repository",
+        "error: object file is corrupt": "provenance_integrity_error",
+        "fatal: unable to read tree": "provenance_integrity_error",
+        "fatal: attempt to fetch from a shallow clone": "shallow_history",
+        "fatal: ambiguous merge base": "ambiguous_merge_base",
+        "anything": "missing_git_object",
+    }
+    assert {k: fault_of(k) for k in said} == said
+
+
+def test_guards_of_scripts():
+    from palisade.plans.semantics import script_guards
+
+    one = lambda code: [(n, line, set(u)) for n, line, u in script_guards(code, "go")]
+    assert one("function f(a) {\n  if (!a) { return; }\n  // go(0)\n  go(1);\n}") == [("f", 4, {"not (!a)"})]
+    assert one("class C {\n  m(a) {\n    if (a) go(1); else { go(2); }\n  }\n}")[0] == ("m", 3, {"a"})
+    assert one("const f = (a) => {\n  if (!a) return;\n  x.go(a);\n};") == [("f", 3, {"not (!a)"})]
+    assert one("function f(a, b) {\n  if (a) {\n    x();\n  } else if (b) {\n    go();\n  }\n}") == [("f", 5, {"b", "not (a)"})]
+    assert one('function f(a) {\n  s = "if (x) { go(1) }";\n  a && go(2);\n}')[-1][2] == {"&& a"}
+    assert one("function f() {\n  go();\n}\nfunction go() {}\n") == [("f", 2, set())]
