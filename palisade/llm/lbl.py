@@ -46,6 +46,13 @@ class Rows:
         return len(self.prior)
 
 
+class _Places(dict):
+    """Places of frequent words; any other word has the last."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+
 class Vocabulary:
     """Frequent words with their counts, and what is known of the others together.
 
@@ -54,7 +61,7 @@ class Vocabulary:
     """
 
     def __init__(self, words: list[str], counts: np.ndarray, total: int, types: int):
-        self.ids = {w.encode(): i for i, w in enumerate(words)}
+        self.ids = _Places((w.encode(), i) for i, w in enumerate(words))
         self.all = total + 0.5 * (types + 1)
         mass = counts + 0.5
         self.rest = self.all - mass.sum() if len(words) else self.all  # the half of the unknown included
@@ -74,9 +81,7 @@ class Vocabulary:
     def encode(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
         """Tokens without the end, and the numbers of all; words that aren't frequent share the last number."""
         tokens = text.lower().split()
-        rest = len(self.ids)
-        get = self.ids.get
-        ids = np.fromiter([get(t, rest) for t in tokens], np.int32, len(tokens))
+        ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens))
         return tokens, np.append(ids, np.int32(self.end))
 
 

@@ -44,7 +44,7 @@ def _count(batches):
     import pyarrow as pa
 
     def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
     found: Counter = Counter()
     for batch in batches:
@@ -138,13 +138,13 @@ def _score(shared):
         import pyarrow as pa
 
         vocabulary, model = _once(shared)
-        tails_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
         last = len(vocabulary.ids)
 
         def rows(part, texts):
             ids = [x[1] for x in texts]
             log = model.log10(*laid_out([vocabulary.class_of[i] for i in ids], vocabulary.class_of[vocabulary.end]))
-            at, cols = 0, {k: [] for k in ("n_tokens", "n_known", "base", "lm", "n_tail", "tails")}
+            at, cols = 0, {k: [] for k in ("n_tokens", "n_known", "base", "lm", "n_tail")}
+            words, times, ends = [], [], [0]
             for tokens, i in texts:
                 rest = np.flatnonzero(i == last)
                 cols["n_tokens"].append(len(i))
@@ -153,11 +153,15 @@ def _score(shared):
                 cols["lm"].append(float(log[at : at + len(i)].sum() + vocabulary.share[i].sum()))
                 cols["n_tail"].append(len(rest))
                 found = Counter(tokens[k] if k < len(tokens) else END.encode() for k in rest.tolist())
-                cols["tails"].append([{"word": w.decode(), "n": c} for w, c in found.items()])
+                words += found.keys()
+                times += found.values()
+                ends.append(len(words))
                 at += len(i)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), tails_type)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             arrays = [pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *arrays], ["id", "held_out", *cols])
+            each = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+            return pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *arrays, tails], ["id", "held_out", *cols, "tails"])
 
         for batch in batches:
             at, texts, n = 0, [], 0
