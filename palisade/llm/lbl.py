@@ -12,6 +12,8 @@ of classes grows with the square root of the words'.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 12, 32, 4096, 0.35
 #: Groups of words by shape, the most frequent words included; so many times the root of the words is how many pieces they fall into beside.
@@ -36,6 +38,16 @@ def shape_of(word: str) -> str:
     return core[:2] + "\t" + word[len(core) :][:2]
 
 
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in one row, A-Z lower-cased, and how many each has."""
+    each = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = each.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    ends = np.cumsum(pc.list_value_length(each).to_numpy())
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    return words.filter(full), np.diff(before[np.append(0, ends)])
+
+
 class Rows:
     """The words' rows, those of a class together: the prior of each, and where each class begins, with their number at the end."""
 
@@ -46,13 +58,6 @@ class Rows:
         return len(self.prior)
 
 
-class _Places(dict):
-    """Places of frequent words; any other word has the last."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self)
-
-
 class Vocabulary:
     """Frequent words with their counts, and what is known of the others together.
 
@@ -61,7 +66,7 @@ class Vocabulary:
     """
 
     def __init__(self, words: list[str], counts: np.ndarray, total: int, types: int):
-        self.ids = _Places((w.encode(), i) for i, w in enumerate(words))
+        self.words = pa.array(words, pa.string())
         self.all = total + 0.5 * (types + 1)
         mass = counts + 0.5
         self.rest = self.all - mass.sum() if len(words) else self.all  # the half of the unknown included
@@ -76,13 +81,25 @@ class Vocabulary:
         self.base = np.append(np.log10(mass / self.all), 0.0)
         self.share = np.zeros(self.tail + 1)
         self.known = np.append(counts > 0, False)
-        self.end = self.ids.get(END.encode(), len(words))
+        self.end = words.index(END) if END in words else len(words)
+
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Tokens of all texts without the ends, the numbers of all with them, and where each text's numbers stop.
+
+        Words that aren't frequent share the last number.
+        """
+        tokens, lengths = tokens_of(texts)
+        stops = np.cumsum(lengths + 1)
+        ids = np.full(len(tokens) + len(lengths), self.end, np.int32)
+        inside = np.ones(len(ids), bool)
+        inside[stops - 1] = False
+        ids[inside] = pc.fill_null(pc.index_in(tokens, value_set=self.words), self.tail).to_numpy()
+        return tokens, ids, stops
 
     def encode(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
-        """Tokens without the end, and the numbers of all; words that aren't frequent share the last number."""
-        tokens = text.lower().split()
-        ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens))
-        return tokens, np.append(ids, np.int32(self.end))
+        """Tokens without the end, and the numbers of all."""
+        tokens, ids, _ = self.encode_all(pa.array([text.decode()]))
+        return tokens.cast(pa.binary()).to_pylist(), ids
 
 
 def _classes(words: list[str], prior: np.ndarray) -> np.ndarray:
@@ -110,10 +127,15 @@ def _classes(words: list[str], prior: np.ndarray) -> np.ndarray:
     return of
 
 
+def _ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers below 2**31 in order, and their places; equal ones in the order they stand in."""
+    keys = np.sort(rows.astype(np.int64) << 32 | np.arange(len(rows)))
+    return keys >> 32, keys & 0xFFFFFFFF
+
+
 def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, how often each occurs, and what _sums needs: an order that brings equal rows together, and where each begins."""
-    order = np.argsort(rows, kind="stable")
-    ranked = rows[order]
+    ranked, order = _ordered(rows)
     begins = np.flatnonzero(np.diff(ranked, prepend=-1))
     return ranked[begins], np.diff(np.append(begins, len(rows))), order, begins
 
@@ -256,7 +278,7 @@ class LogBilinear:
                 out[part] = logs(contexts[part], self.P, c[part])
             at += len(some)
         among = np.flatnonzero(~self.alone[target])
-        among = among[np.argsort(c[among], kind="stable")]
+        among = among[_ordered(c[among])[1]]
         for run in np.split(among, np.flatnonzero(np.diff(c[among])) + 1):
             for at in range(0, len(run), AT_ONCE):
                 some = run[at : at + AT_ONCE]

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import materialize, sole_cache, text_of
-from palisade.llm.lbl import END, LogBilinear, Vocabulary, laid_out, pieces
+from palisade.llm.lbl import END, LogBilinear, Vocabulary, laid_out, pieces, tokens_of
 
 #: Frequent words have rows in the model: so many times the root of the training words, and at most so many, as they are broadcast (64 bytes a word at most).
 BY_ROOT, FREQUENT, FREQUENT_CHARS = 10, 131_072, 16
-#: Distinct words that a task counts before it passes them on.
-COUNT_AT_ONCE = 200_000
+#: Bytes of text that are split into words at once.
+BYTES_AT_ONCE = 8 << 20
 #: Words that are scored, or learned from, at once.
 WORDS_AT_ONCE = 65_536
 #: Documents are dealt to learners by what they hold, whatever the table's files and partitions: to as many as the root of the training words over this.
@@ -40,27 +39,38 @@ def _once(shared):
     return vocabulary, LogBilinear(vocabulary.prior, tables)
 
 
+def _slices(batch):
+    """A batch in parts of BYTES_AT_ONCE of text, or of one longer text."""
+    import pyarrow.compute as pc
+
+    at, before = 0, np.append(0, np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64))
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(before, before[at] + BYTES_AT_ONCE, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _count(batches):
     import pyarrow as pa
 
-    def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
-
-    found: Counter = Counter()
+    texts = 0
     for batch in batches:
-        for text in batch.column("text"):
-            found.update(text.as_py().encode().lower().split())
-            if len(found) > COUNT_AT_ONCE:
-                yield rows(found)
-                found = Counter()
-        found[END.encode()] += batch.num_rows
-    if found:
-        yield rows(found)
+        texts += batch.num_rows
+        for part in _slices(batch):
+            found = tokens_of(part.column("text"))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([texts], pa.int64())], ["word", "n"])
 
 
 def _learn(shared):
     """Learns from the rows of each shard, which come together and in order, from the same start."""
 
+    def encoded(vocabulary, batch):
+        for part in _slices(batch):
+            _, ids, stops = vocabulary.encode_all(part.column("text"))
+            yield from zip(part.column("shard").to_pylist(), np.split(vocabulary.class_of[ids], stops[:-1]), strict=True)
+
     def run(batches):
         vocabulary, model = _once(shared)
         now, rng, start, texts, n, learned = None, None, [], [], 0, 0
@@ -80,14 +90,14 @@ def _learn(shared):
                         yield _moves([(table, int(block[0]) // BLOCK, block, met[block], ((after[block] - before[block]) * met[block, None]).astype(np.float32))])
 
         for batch in batches:
-            for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text"), strict=True):
+            for shard, said in encoded(vocabulary, batch):
                 if shard != now:
                     if now is not None:
                         yield from changes()
                         model = _once(shared)[1]
                     now, rng, texts, n, learned = shard, np.random.default_rng(shard), [], 0, 0
                     start = [t.copy() for t in model.tables]
-                texts.append(vocabulary.class_of[vocabulary.encode(text.as_py().encode("utf-8", "replace"))[1]])
+                texts.append(said)
                 n += len(texts[-1])
                 if n >= WORDS_AT_ONCE:
                     step()
@@ -133,46 +143,52 @@ def _add(batches):
 DOC = "held_out boolean, n_tokens long, n_known long, base double, lm double, n_tail long, tails array<struct<word:string,n:int>>"
 
 
+def _tails(tokens, ids, stops, vocabulary):
+    """The words of each text that are not frequent, with how often it holds them."""
+    import pyarrow as pa
+
+    rest = np.flatnonzero(ids == vocabulary.tail)
+    text = np.searchsorted(stops, rest, "right")
+    ends = rest == stops[text] - 1  # the end itself may be rare
+    words = pa.concat_arrays([tokens.take(pa.array((rest - text)[~ends])), pa.array([END] * int(ends.sum()), pa.string())])
+    found = pa.table({"text": np.concatenate([text[~ends], text[ends]]), "word": words}).group_by(["text", "word"], use_threads=False).aggregate([([], "count_all")])
+    found = found.sort_by("text").combine_chunks()
+    begins = np.searchsorted(found["text"].to_numpy(), np.arange(len(stops) + 1))
+    whole = lambda c, kind: pa.concat_arrays(found[c].cast(kind).chunks) if found.num_rows else pa.array([], kind)
+    each = pa.StructArray.from_arrays([whole("word", pa.string()), whole("count_all", pa.int32())], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), each)
+
+
 def _score(shared):
     def run(batches):
         import pyarrow as pa
 
         vocabulary, model = _once(shared)
-        last = len(vocabulary.ids)
-
-        def rows(part, texts):
-            ids = [x[1] for x in texts]
-            log = model.log10(*laid_out([vocabulary.class_of[i] for i in ids], vocabulary.class_of[vocabulary.end]))
-            at, cols = 0, {k: [] for k in ("n_tokens", "n_known", "base", "lm", "n_tail")}
-            words, times, ends = [], [], [0]
-            for tokens, i in texts:
-                rest = np.flatnonzero(i == last)
-                cols["n_tokens"].append(len(i))
-                cols["n_known"].append(int(vocabulary.known[i].sum()))
-                cols["base"].append(float(vocabulary.base[i].sum()))
-                cols["lm"].append(float(log[at : at + len(i)].sum() + vocabulary.share[i].sum()))
-                cols["n_tail"].append(len(rest))
-                found = Counter(tokens[k] if k < len(tokens) else END.encode() for k in rest.tolist())
-                words += found.keys()
-                times += found.values()
-                ends.append(len(words))
-                at += len(i)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            arrays = [pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)]
-            each = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
-            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
-            return pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *arrays, tails], ["id", "held_out", *cols, "tails"])
+        end = vocabulary.class_of[vocabulary.end]
+
+        def rows(part):
+            tokens, ids, stops = vocabulary.encode_all(part.column("text"))
+            starts = np.append(0, stops[:-1])
+            said, log, at = vocabulary.class_of[ids], np.empty(len(ids)), 0
+            while at < len(stops):
+                to = min(len(stops), int(np.searchsorted(stops, starts[at] + WORDS_AT_ONCE)) + 1)
+                log[starts[at] : stops[to - 1]] = model.log10(*laid_out(np.split(said[starts[at] : stops[to - 1]], starts[at + 1 : to] - starts[at]), end))
+                at = to
+            log += vocabulary.share[ids]
+            sums = lambda x: np.add.reduceat(x, starts)
+            numbers = {
+                "n_tokens": np.diff(stops, prepend=0),
+                "n_known": sums(vocabulary.known[ids].astype(np.int64)),
+                "base": sums(vocabulary.base[ids]),
+                "lm": sums(log),
+                "n_tail": sums((ids == vocabulary.tail).astype(np.int64)),
+            }
+            arrays = [pa.array(x) for x in numbers.values()]
+            return pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *arrays, _tails(tokens, ids, stops, vocabulary)], ["id", "held_out", *numbers, "tails"])
 
         for batch in batches:
-            at, texts, n = 0, [], 0
-            for k, text in enumerate(batch.column("text")):
-                texts.append(vocabulary.encode(text.as_py().encode()))
-                n += len(texts[-1][1])
-                if n >= WORDS_AT_ONCE:
-                    yield rows(batch.slice(at, k + 1 - at), texts)
-                    at, texts, n = k + 1, [], 0
-            if texts:
-                yield rows(batch.slice(at), texts)
+            for part in _slices(batch):
+                yield rows(part)
 
     return run
 
