@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palisade.functions import canonical, names, stats, text
-from palisade.operators import gate, hunks, references, snapshots
+from palisade.operators import gate, hunks, references, review, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -553,3 +553,141 @@ def q53_bootstrap_ci(t: Tables) -> DataFrame:
 def q54_sample_summary(t: Tables) -> DataFrame:
     s = stats.summary(t.lineitem, ["l_returnflag", "l_linestatus"], "l_quantity")
     return s.select("l_returnflag", "l_linestatus", "n", "least", "median", "p95", "most", F.round("mean", 6).alias("mean"), stats.sufficiency(F.col("n"), F.lit(1000), F.col("p95"), F.lit(48)).alias("state"))
+
+
+# --- what decides beside findings
+
+CHANGED_SQL = "SELECT source AS run_id, CASE WHEN doc_id % 7 = 0 THEN '.github/workflows/' || doc_id || '.yml' WHEN doc_id % 11 = 0 THEN 'docs/CODEOWNERS' WHEN doc_id % 13 = 0 THEN '.palisade/policy.toml' ELSE lang || '/CODEOWNERS' END AS path FROM documents"
+
+
+@query(f"WITH c AS ({CHANGED_SQL}), p AS (SELECT *, path IN ('CODEOWNERS', '.github/CODEOWNERS', 'docs/CODEOWNERS') OR starts_with(path, '.palisade/') OR starts_with(path, '.github/workflows/') OR starts_with(path, '.github/actions/') AS safe FROM c), g AS (SELECT run_id, count(*) FILTER (safe) AS protected, min(path) FILTER (safe) AS first_protected, bool_or(path = '.palisade/policy.toml') AS policy_changed FROM p GROUP BY 1) SELECT *, concat_ws(',', CASE WHEN protected > 0 THEN 'gate_integrity_review' END, CASE WHEN policy_changed THEN 'policy_change_review' END) AS codes FROM g")
+def q55_gate_integrity(t: Tables) -> DataFrame:
+    m = lambda n: F.col("doc_id") % n == 0
+    path = F.when(m(7), F.concat(F.lit(".github/workflows/"), F.col("doc_id").cast("string"), F.lit(".yml"))).when(m(11), "docs/CODEOWNERS").when(m(13), review.POLICY).otherwise(F.concat("lang", F.lit("/CODEOWNERS")))
+    return review.integrity(t.documents.select(F.col("source").alias("run_id"), path.alias("path"))).withColumn("codes", F.array_join("codes", ","))
+
+
+RECORDS_SQL = "old AS (SELECT o_custkey AS run_id, CASE WHEN o_orderkey % 2 = 0 THEN 'waivers' ELSE 'acceptances' END AS kind, o_orderkey AS record_id, CAST(o_orderdate AS DATE) AS created, CAST(o_orderdate AS DATE) + 90 AS expires FROM orders), new AS (SELECT run_id, kind, record_id, created, CASE WHEN record_id % 5 = 0 THEN expires + 900 ELSE expires END AS expires FROM old WHERE record_id % 3 <> 0)"
+
+
+def _records(t: Tables) -> tuple[DataFrame, DataFrame]:
+    day = F.to_date("o_orderdate")
+    old = t.orders.select(F.col("o_custkey").alias("run_id"), F.when(F.col("o_orderkey") % 2 == 0, "waivers").otherwise("acceptances").alias("kind"), F.col("o_orderkey").alias("record_id"), day.alias("created"), F.date_add(day, 90).alias("expires"))
+    new = old.where("record_id % 3 <> 0").withColumn("expires", F.when(F.col("record_id") % 5 == 0, F.date_add("expires", 900)).otherwise(F.col("expires")))
+    return old, new
+
+
+@query(f"""WITH {RECORDS_SQL}, p AS (SELECT *, DATE '1996-06-30' AS day FROM old o FULL OUTER JOIN (SELECT run_id AS r, kind AS k, record_id AS i, created AS c, expires AS e FROM new) n ON o.run_id = n.r AND o.kind = n.k AND o.record_id = n.i)
+SELECT coalesce(run_id, r) AS run_id, count(*) FILTER (i IS NOT NULL AND (record_id IS NULL OR expires <> e OR created <> c) AND c > day) AS invalid, count(*) FILTER (record_id IS NOT NULL AND NOT day BETWEEN created AND expires AND (i IS NULL OR day BETWEEN c AND e)) AS superseded,
+concat_ws(',', CASE WHEN bool_or(k = 'acceptances' AND NOT day BETWEEN c AND e) THEN 'coverage_acceptance_review' END, CASE WHEN bool_or(k = 'waivers' AND NOT day BETWEEN c AND e) THEN 'waiver_review' END) AS codes FROM p GROUP BY 1""")
+def q56_policy_review(t: Tables) -> DataFrame:
+    found = review.policy_review(*_records(t), F.lit("1996-06-30").cast("date"))
+    return found.withColumn("codes", F.array_join("codes", ","))
+
+
+@query("""WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'error' AND value > 90) AS findings, count(*) FILTER (event_type = 'signup' AND value > 90) AS gaps, count(*) FILTER (event_type = 'purchase') AS superseded, bool_or(event_type = 'click' AND value > 80) AS asked, bool_or(event_type = 'view') AS moved FROM events GROUP BY 1),
+c AS (SELECT *, superseded > 0 AND findings = 0 AND gaps = 0 AS settled FROM g), r AS (SELECT *, concat_ws(',', CASE WHEN settled AND asked THEN 'coverage_acceptance_review' END, 'gate_integrity_review', CASE WHEN NOT settled OR asked THEN 'waiver_review' END) AS codes FROM c),
+s AS (SELECT *, CASE WHEN findings > 0 THEN 'FAIL' WHEN gaps > 0 THEN 'INCONCLUSIVE' ELSE 'REVIEW' END AS status FROM r) SELECT user_id, status, codes, status = 'REVIEW' AND user_id % 2 = 0 AND codes = 'gate_integrity_review' AS cleared FROM s""")
+def q57_review_boundary(t: Tables) -> DataFrame:
+    kind = lambda k, least=None: (F.col("event_type") == k) & (F.lit(True) if least is None else F.col("value") > least)
+    g = t.events.groupBy("user_id").agg(F.count_if(kind("error", 90)).alias("findings"), F.count_if(kind("signup", 90)).alias("gaps"), F.count_if(kind("purchase")).alias("superseded"), F.bool_or(kind("click", 80)).alias("asked"))
+    codes = F.array(F.lit("gate_integrity_review"), F.lit("waiver_review"))
+    proposed = F.when(F.col("asked"), F.array(F.lit("coverage_acceptance_review"))).otherwise(F.array().cast("array<string>"))
+    g = g.withColumn("codes", review.after_proposal(codes, proposed, F.col("superseded"), F.col("findings"), F.col("gaps")))
+    g = g.withColumn("status", gate.verdict(F.lit(False), F.col("findings") > 0, F.col("gaps") > 0, F.size("codes") > 0))
+    cleared = review.review_cleared(F.col("status"), F.col("codes"), F.col("user_id") % 2 == 0, F.lit(True))
+    return g.select("user_id", "status", F.array_join("codes", ",").alias("codes"), cleared.alias("cleared"))
+
+
+CHECK_NAMES = ("grounding", "deletion", "contract", "semantic", "security")
+
+
+@query(f"WITH f AS (SELECT user_id AS run_id, string_agg(DISTINCT code, ',' ORDER BY code) AS reason_codes, bool_and(code <> 'shallow_history') AS limited FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'shallow_history' WHEN 'signup' THEN 'budget_exhausted' ELSE 'parse_resource_limit' END AS code FROM events WHERE value > 150 OR event_type = 'signup') GROUP BY 1) SELECT run_id, check_id, CASE WHEN limited THEN 'INCONCLUSIVE' ELSE 'ERROR' END AS outcome, CASE WHEN limited THEN 'PARTIAL' ELSE 'UNKNOWN' END AS coverage, reason_codes FROM f, (SELECT unnest({list(CHECK_NAMES)}) AS check_id)")
+def q58_fault_fan_out(t: Tables) -> DataFrame:
+    code = F.when(F.col("event_type") == "error", "shallow_history").when(F.col("event_type") == "signup", "budget_exhausted").otherwise("parse_resource_limit")
+    faults = t.events.where("value > 150 or event_type = 'signup'").select(F.col("user_id").alias("run_id"), code.alias("code"))
+    return review.fan_out(faults, CHECK_NAMES).withColumn("reason_codes", F.array_join("reason_codes", ","))
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS enumerated, CASE WHEN count(DISTINCT l_suppkey) > 4 THEN 'INCONCLUSIVE' ELSE 'FAIL' END AS outcome FROM lineitem GROUP BY 1")
+def q59_entity_budget(t: Tables) -> DataFrame:
+    side = lambda s: t.lineitem.where(F.col("l_linestatus") == s)
+    seen = review.enumerated(side("F"), side("O"), ["l_orderkey"], "l_suppkey")
+    return seen.withColumn("outcome", review.within_budget(F.lit("FAIL"), F.col("enumerated"), F.lit(4)))
+
+
+GAP_CODE_SQL = "CASE source WHEN 'src1' THEN 'unsupported_language' WHEN 'src2' THEN 'frontend_capability_missing' ELSE 'dynamic_call' END"
+
+
+@query(f"WITH g AS (SELECT n_chars % 500 AS run_id, count(*) AS gaps, count(*) FILTER (lang = 'fr') AS open_gaps, bool_and({GAP_CODE_SQL} <> 'dynamic_call') AS narrow FROM documents GROUP BY 1) SELECT run_id, gaps, open_gaps, open_gaps = 0 AND narrow AS lifted FROM g")
+def q60_scope_lift(t: Tables) -> DataFrame:
+    code = F.when(F.col("source") == "src1", "unsupported_language").when(F.col("source") == "src2", "frontend_capability_missing").otherwise("dynamic_call")
+    g = t.documents.groupBy((F.col("n_chars") % 500).alias("run_id")).agg(F.count(F.lit(1)).alias("gaps"), F.count_if(F.col("lang") == "fr").alias("open_gaps"), F.collect_set(code).alias("codes"))
+    return g.select("run_id", "gaps", "open_gaps", review.scope_lifted(F.col("gaps"), F.col("open_gaps"), F.col("codes")).alias("lifted"))
+
+
+@query("""WITH a AS (SELECT doc_id, quality, toxic, contains(text, 'AKIA') OR contains(text, 'ghp_') OR contains(text, 'sk_live_') AS raw FROM labels JOIN documents USING (doc_id))
+SELECT doc_id, concat_ws(',', CASE WHEN quality <> toxic THEN 'outcome' END, CASE WHEN doc_id % 3 = 0 THEN 'coverage' END, CASE WHEN doc_id % 4 = 0 THEN 'reason_codes' END, CASE WHEN quality = 0 AND toxic = 1 THEN 'false_blocking' END, CASE WHEN raw THEN 'raw_secret' END) AS errors, quality = toxic AND doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND NOT raw AS matched, quality = 0 AND toxic = 1 AS false_blocking FROM a""")
+def q61_case_grading(t: Tables) -> DataFrame:
+    outcome = lambda c: F.when(F.col(c) == 1, "FAIL").otherwise("PASS").alias("outcome")
+    texts = lambda *x: F.array(*map(F.lit, x))
+    coverage = F.when(F.col("doc_id") % 3 == 0, "PARTIAL").otherwise("COMPLETE").alias("coverage")
+    codes = F.when(F.col("doc_id") % 4 == 0, texts("a")).otherwise(texts("b", "a")).alias("reason_codes")
+    same = texts("SEC-SECRET").alias("findings")
+    got = F.struct(outcome("toxic"), coverage, codes, same)
+    wanted = F.struct(outcome("quality"), F.lit("COMPLETE").alias("coverage"), texts("a", "b").alias("reason_codes"), same)
+    answers = t.labels.join(t.documents, "doc_id").select("doc_id", got.alias("got"), wanted.alias("wanted"), F.array("text").alias("messages"))
+    return review.graded(answers).select("doc_id", F.array_join("errors", ",").alias("errors"), "matched", "false_blocking")
+
+
+@query(f"""WITH r AS (SELECT event_id, {OUTCOME_SQL} AS outcome, event_id % 3 > 0 AS complete, event_id % 5 > 0 AS scope, event_id % 7 > 0 AS cand, value > 50 AS found, event_id % 11 = 0 AS gap, event_id % 13 = 0 AS sub FROM events), w AS (SELECT *, complete AND scope AND cand AND NOT gap AND NOT sub AS whole FROM r)
+SELECT event_id, concat_ws(',', CASE WHEN complete AND NOT scope THEN 'complete_without_scope' END, CASE WHEN complete AND NOT cand THEN 'complete_without_candidates' END, CASE WHEN complete AND gap THEN 'complete_with_open_gaps' END, CASE WHEN complete AND sub THEN 'complete_with_partial_parts' END, CASE WHEN outcome = 'PASS' AND NOT whole THEN 'pass_without_coverage' END, CASE WHEN outcome = 'PASS' AND found THEN 'pass_with_findings' END, CASE WHEN outcome = 'NOT_APPLICABLE' AND NOT whole THEN 'not_applicable_without_coverage' END, CASE WHEN outcome = 'NOT_APPLICABLE' AND found THEN 'not_applicable_with_findings' END, CASE WHEN outcome = 'INCONCLUSIVE' AND found THEN 'inconclusive_with_findings' END, CASE WHEN outcome = 'FAIL' AND NOT found THEN 'fail_without_findings' END, CASE WHEN outcome = 'ERROR' AND event_id % 2 = 0 THEN 'error_without_reason' END) AS violations FROM w""")
+def q62_result_validator(t: Tables) -> DataFrame:
+    m = lambda n: F.col("event_id") % n
+    number = lambda test: F.when(test, 1).otherwise(0)
+    found = review.violations(F.when(m(3) > 0, "COMPLETE").otherwise("PARTIAL"), _outcome(), m(5) > 0, m(7) > 0, number(F.col("value") > 50), number(m(11) == 0), number(m(13) == 0), m(2) > 0)
+    return t.events.select("event_id", F.array_join(found, ",").alias("violations"))
+
+
+@query("SELECT user_id, count(*) AS count, string_agg(DISTINCT CASE WHEN event_type = 'view' THEN 'unknown' ELSE event_type END, ',' ORDER BY CASE WHEN event_type = 'view' THEN 'unknown' ELSE event_type END) AS kinds FROM events GROUP BY 1")
+def q63_warning_summary(t: Tables) -> DataFrame:
+    return review.warnings(t.events.select("user_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind")), ["user_id"], "kind")
+
+
+OWNED = [(0, "*", ["@all"]), (1, "/src1/", ["@one"]), (2, "/src2/en", []), (3, "/src1/de/**", ["@de"]), (4, "/src3/*/x", ["@all"]), (5, "/src4/fr", ["@four"])]
+
+
+@query("SELECT DISTINCT source || '/' || lang AS target, CASE WHEN source = 'src1' AND lang <> 'de' THEN '' WHEN source = 'src2' AND lang = 'en' THEN 'codeowners_ownerless_rule' ELSE '' END AS reasons FROM documents UNION SELECT DISTINCT source, CASE source WHEN 'src1' THEN 'codeowners_noninterference_unproven' WHEN 'src2' THEN 'codeowners_noninterference_unproven' WHEN 'src4' THEN 'codeowners_noninterference_unproven' ELSE '' END FROM documents")
+def q64_owner_interference(t: Tables) -> DataFrame:
+    folders = t.documents.select(F.concat_ws("/", "source", "lang").alias("target")).union(t.documents.select("source")).distinct()
+    return folders.select("target", F.array_join(review.owner_reasons(F.col("target"), OWNED), ",").alias("reasons"))
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS added, count(*) FILTER (o_orderstatus = 'F') AS deleted, added > 0 AND deleted > 0 AND (added * 100 + deleted * 100 > 2000 OR added * 100 * deleted * 100 > 2000) AS limited FROM orders GROUP BY 1")
+def q65_rename_limit(t: Tables) -> DataFrame:
+    g = t.orders.groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("added"), F.count_if(F.col("o_orderstatus") == "F").alias("deleted"))
+    return g.withColumn("limited", review.rename_limited(F.col("added") * 100, F.col("deleted") * 100))
+
+
+FLAGS_SQL = "SELECT doc_id, source AS run_id, lang || '/' || doc_id AS path, doc_id % 17 = 0 AS is_submodule, doc_id % 19 = 0 AS is_symlink, doc_id % 17 <> 0 AND doc_id % 5 = 0 AS is_binary, doc_id % 17 <> 0 AND doc_id % 7 = 0 AS is_lfs FROM documents"
+
+
+def _flagged(t: Tables) -> DataFrame:
+    m = lambda n: F.col("doc_id") % n == 0
+    mode = lambda code, n: F.when(m(n), code).otherwise("100644")
+    base = F.encode(F.when(m(7), F.concat(F.lit(review.LFS_POINTER), F.lit("v1\n"))).otherwise(F.lit("x")), "utf-8")
+    head = F.encode(F.when(m(5), F.concat(F.lit("a"), F.char(F.lit(0)), F.col("source"))).otherwise(F.lit("y")), "utf-8")
+    flags = review.blob_flags(mode("160000", 17), mode("120000", 19), base, head)
+    return t.documents.select("doc_id", F.col("source").alias("run_id"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), flags.alias("f")).select("doc_id", "run_id", "path", "f.*")
+
+
+@query(FLAGS_SQL)
+def q66_blob_flags(t: Tables) -> DataFrame:
+    return _flagged(t)
+
+
+@query(f"WITH e AS ({FLAGS_SQL}) SELECT run_id, 'binary' AS kind, path, NULL AS reason_code FROM e WHERE is_binary UNION ALL SELECT run_id, 'submodule', path, NULL FROM e WHERE is_submodule UNION ALL SELECT run_id, 'lfs_content_unavailable', path, 'lfs_content_unavailable' FROM e WHERE is_lfs UNION ALL SELECT run_id, 'accepted_gap', path, 'dynamic_call' FROM e WHERE doc_id % 23 = 0 UNION ALL SELECT DISTINCT run_id, 'target_changes_since_merge_base', NULL, NULL FROM e WHERE run_id < 'src5'")
+def q67_excluded_scope(t: Tables) -> DataFrame:
+    e = _flagged(t)
+    accepted = e.where("doc_id % 23 = 0").select("run_id", "path", F.lit("dynamic_call").alias("reason_code"))
+    return review.excluded_scope(e, accepted, e.where("run_id < 'src5'").select("run_id").distinct())

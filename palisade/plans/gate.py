@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from palisade.functions.canonical import canonical, finding_fingerprint, payload_hash
 from palisade.functions.text import uri_path
 from palisade.operators import gate as algebra
+from palisade.operators import review
 from palisade.operators.tables import settle
 from palisade.plans import checks
 
@@ -56,7 +57,7 @@ def _glob_sql(glob):
 
 
 def results(runs: DataFrame, findings: DataFrame, gaps: DataFrame, relevant: DataFrame) -> DataFrame:
-    """(run_id, check_id, outcome, coverage, reason_codes) of each run and check.
+    """(run_id, check_id, outcome, coverage, open_findings, open_gaps, reason_codes, reviews) of each run and check.
 
     relevant: (run_id, check_id) where a check had something to look at.
     """
@@ -68,19 +69,50 @@ def results(runs: DataFrame, findings: DataFrame, gaps: DataFrame, relevant: Dat
     outcome = F.when(n("findings") > 0, "FAIL").when(n("open_gaps") > 0, "INCONCLUSIVE").when(F.col("relevant").isNull(), "NOT_APPLICABLE").otherwise("PASS")
     coverage = F.when(F.coalesce("unknown", F.lit(False)), "UNKNOWN").when(n("open_gaps") > 0, "PARTIAL").otherwise("COMPLETE")
     none = F.array().cast("array<string>")
-    return j.select("run_id", "check_id", outcome.alias("outcome"), coverage.alias("coverage"), n("open").alias("open_findings"), n("open_gaps").alias("open_gaps"), F.array_sort(F.array_union(F.coalesce("found", none), F.coalesce("missed", none))).alias("reason_codes"), (F.coalesce("stale_f", F.lit(False)) | F.coalesce("stale_g", F.lit(False))).alias("review"))
+    return j.select("run_id", "check_id", outcome.alias("outcome"), coverage.alias("coverage"), n("open").alias("open_findings"), n("open_gaps").alias("open_gaps"), F.array_sort(F.array_union(F.coalesce("found", none), F.coalesce("missed", none))).alias("reason_codes"), F.array_compact(F.array(F.when(F.col("stale_g"), "coverage_acceptance_review"), F.when(F.col("stale_f"), "waiver_review"))).alias("reviews"))
 
 
-def verdicts(checked: DataFrame, faults: DataFrame | None = None) -> DataFrame:
-    """(run_id, status, exit_code, reason_codes) of each run."""
-    v = checked.groupBy("run_id").agg(F.bool_or(F.col("open_findings") > 0).alias("finding"), F.bool_or(F.col("open_gaps") > 0).alias("incomplete"), F.bool_or("review").alias("review"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reason_codes")))).alias("reason_codes"))
-    v = v.join(faults.groupBy("run_id").agg(F.collect_set("code").alias("faults")), "run_id", "left") if faults is not None else v.withColumn("faults", F.lit(None).cast("array<string>"))
-    status = algebra.verdict(F.size(F.coalesce("faults", F.array().cast("array<string>"))) > 0, F.col("finding"), F.col("incomplete"), F.col("review"))
-    return v.select("run_id", status.alias("status"), algebra.exit_code(status).alias("exit_code"), F.array_sort(F.array_union("reason_codes", F.coalesce("faults", F.array().cast("array<string>")))).alias("reason_codes"))
+def fatal_results(checked: DataFrame, fatal: DataFrame) -> DataFrame:
+    """checked, with the rows of runs that could not be looked at in place of theirs. fatal: run_id, code."""
+    rows = review.fan_out(fatal, checks.CHECKS)
+    rows = rows.select("run_id", "check_id", "outcome", "coverage", F.lit(0).cast("long").alias("open_findings"), F.lit(1).cast("long").alias("open_gaps"), "reason_codes", F.array().cast("array<string>").alias("reviews"))
+    return checked.join(fatal.select("run_id").distinct(), "run_id", "left_anti").select(rows.columns).union(rows)
 
 
-def gate(files: DataFrame, rules: DataFrame, records: DataFrame, as_of: str, faults: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of a gate: findings, gaps, results and verdicts."""
+def verdicts(checked: DataFrame, faults: DataFrame | None = None, asked: DataFrame | None = None, proposal: DataFrame | None = None, drifted: DataFrame | None = None) -> DataFrame:
+    """(run_id, status, exit_code, reason_codes) of each run.
+
+    faults: run_id, code of further faults. asked: run_id, codes of further reviews.
+    proposal: what ``policy_review`` gives; one with records that are not valid is a
+    fault. drifted: run_id of runs whose target must not have moved on, but has.
+    """
+    none = F.array().cast("array<string>")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    error = F.bool_or(F.col("outcome") == "ERROR")
+    v = checked.groupBy("run_id").agg(F.sum("open_findings").alias("findings"), F.sum("open_gaps").alias("gaps"), error.alias("error"), every("reviews").alias("reviews"), every("reason_codes").alias("reason_codes"))
+    nothing = checked.sparkSession.createDataFrame([], "run_id string, code string, codes array<string>, superseded long, invalid long")
+    facts = lambda df, *cols: (nothing if df is None else df).groupBy("run_id").agg(*cols)
+    v = v.join(facts(faults, F.collect_set("code").alias("faults")), "run_id", "left")
+    v = v.join(facts(asked, every("codes").alias("asked")), "run_id", "left")
+    v = v.join(facts(proposal, F.max("superseded").alias("superseded"), F.max("invalid").alias("invalid"), every("codes").alias("proposed")), "run_id", "left")
+    v = v.join(facts(drifted, F.first(F.lit(True)).alias("drifted")), "run_id", "left")
+    codes = F.array_union("reviews", F.coalesce("asked", none))
+    codes = review.after_proposal(codes, F.coalesce("proposed", none), F.coalesce("superseded", F.lit(0)), F.col("findings"), F.col("gaps"))
+    wrong = F.array_union(F.coalesce("faults", none), F.when(F.col("invalid") > 0, F.array(F.lit("invalid_policy"))).otherwise(none))
+    moved = F.coalesce("drifted", F.lit(False))
+    v = v.select("*", codes.alias("codes"), wrong.alias("wrong"), moved.alias("moved"))
+    status = algebra.verdict(F.col("error") | (F.size("wrong") > 0), F.col("findings") > 0, (F.col("gaps") > 0) | F.col("moved"), F.size("codes") > 0)
+    told = F.array_union(F.array_union("reason_codes", "codes"), F.array_union("wrong", F.when(F.col("moved"), F.array(F.lit("target_drift"))).otherwise(none)))
+    return v.select("run_id", status.alias("status"), algebra.exit_code(status).alias("exit_code"), F.array_sort(told).alias("reason_codes"))
+
+
+def gate(files: DataFrame, rules: DataFrame, records: DataFrame, as_of: str, faults: DataFrame | None = None, fatal: DataFrame | None = None, proposed: DataFrame | None = None, drifted: DataFrame | None = None, policy: str = review.POLICY) -> dict[str, DataFrame]:
+    """All tables of a gate: findings, gaps, results and verdicts.
+
+    fatal: run_id, code of runs that could not be looked at. proposed: records of the
+    policies that changes propose, as policies gives them. Changes of protected paths, and of the policy
+    at ``policy``, ask for a review.
+    """
     change = checks.Change(files, rules)
     findings, gaps = run_checks(change)
     findings = settle(apply_waivers(findings, records, as_of))
@@ -96,7 +128,15 @@ def gate(files: DataFrame, rules: DataFrame, records: DataFrame, as_of: str, fau
         ],
     ).distinct()
     checked = results(files, findings, gaps, relevant)
-    return {"findings": findings, "gaps": gaps, "results": checked, "verdicts": verdicts(checked, faults)}
+    if fatal is not None:
+        checked = fatal_results(checked, fatal)
+    paths = change.entries.select("run_id", F.explode(F.array_compact(F.array("base_path", "head_path"))).alias("path"))
+    asked = review.integrity(paths, policy).select("run_id", "codes")
+    proposal = None
+    if proposed is not None:
+        held = records.join(proposed.select("run_id").distinct(), "run_id", "left_semi")
+        proposal = review.policy_review(held.drop("record_no"), proposed.drop("record_no"), F.lit(as_of))
+    return {"findings": findings, "gaps": gaps, "results": checked, "verdicts": verdicts(checked, faults, asked, proposal, drifted)}
 
 
 def sarif(findings: DataFrame) -> DataFrame:

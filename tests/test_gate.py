@@ -125,3 +125,36 @@ def test_waivers_and_acceptances(spark, tables):
         relevant = tables["results"].select("run_id", "check_id")
         got = {r.run_id: r.status for r in gate.verdicts(gate.results(tables["files"].where(f"run_id in {tuple(one)}"), found, gaps, relevant)).collect()}
         assert got == want
+
+
+def test_reviews_faults_and_drift(spark):
+    """Protected paths, a proposal, runs that could not be read, and a target that moved on, in one job."""
+    record = lambda kind, name, created, expires: f'[[{kind}]]\nid = "{name}"\ncreated = {created}\nexpires = {expires}\nfingerprint = "sha256:{"0" * 64}"\n'
+    rows, now, then = [], {}, {}
+    for run in ("plain", "flow", "policy", "moved", "drift", "renewed", "stale", "late"):
+        path = {"flow": ".github/workflows/a.yml", "policy": ".palisade/policy.toml", "moved": "docs/CODEOWNERS"}.get(run, "a.txt")
+        rows += [(run, "base", path, "100644", "1", b"x"), (run, "head", "b.txt" if run == "moved" else path, "100644", "1" if run == "moved" else "2", b"x" if run == "moved" else b"y")]
+    old, good = record("waivers", "w", "2025-01-01", "2025-03-01"), record("waivers", "w", "2025-12-01", "2026-03-01")
+    now |= {"renewed": old, "stale": old, "late": ""}
+    then |= {"renewed": good, "stale": old, "late": record("waivers", "w", "2026-02-01", "2026-03-01")}
+    files = spark.createDataFrame(rows, "run_id string, side string, path string, mode string, blob_id string, content binary")
+    rules, records = policy_tables(spark, {k: parse_policy(v.encode()) for k, v in now.items()})
+    _, proposed = policy_tables(spark, {k: parse_policy(v.encode()) for k, v in then.items()})
+    fatal = spark.createDataFrame([("gone", "missing_git_object"), ("huge", "parse_resource_limit")], "run_id string, code string")
+    drifted = spark.createDataFrame([("drift",)], "run_id string")
+    made = gate.gate(files, rules, records, "2026-01-01", fatal=fatal, proposed=proposed, drifted=drifted)
+    got = {r.run_id: (r.status, r.exit_code, r.reason_codes) for r in made["verdicts"].collect()}
+    assert got == {
+        "plain": ("PASS", 0, []),
+        "flow": ("REVIEW", 4, ["gate_integrity_review"]),
+        "policy": ("REVIEW", 4, ["gate_integrity_review", "policy_change_review"]),
+        "moved": ("REVIEW", 4, ["gate_integrity_review"]),
+        "drift": ("INCONCLUSIVE", 2, ["target_drift"]),
+        "renewed": ("PASS", 0, []),
+        "stale": ("PASS", 0, []),
+        "late": ("ERROR", 3, ["invalid_policy"]),
+        "gone": ("ERROR", 3, ["missing_git_object"]),
+        "huge": ("INCONCLUSIVE", 2, ["parse_resource_limit"]),
+    }
+    outcomes = {(r.run_id, r.check_id): (r.outcome, r.coverage) for r in made["results"].where("run_id in ('gone', 'huge')").collect()}
+    assert len(outcomes) == 10 and set(outcomes.values()) == {("ERROR", "UNKNOWN"), ("INCONCLUSIVE", "PARTIAL")}
