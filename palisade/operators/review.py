@@ -70,10 +70,14 @@ def policy_review(records: DataFrame, proposed: DataFrame, as_of: Column) -> Dat
 
 
 def after_proposal(codes: Column, proposed: Column, superseded: Column, open_findings: Column, open_gaps: Column) -> Column:
-    """Review codes once a proposal is looked at: it counts only where nothing else blocks the run."""
-    settled = (superseded > 0) & (open_findings == 0) & (open_gaps == 0)
-    left = F.when(F.size(proposed) > 0, F.array_union(codes, proposed)).otherwise(F.filter(codes, lambda c: ~c.isin(*STALE_REVIEWS)))
-    return F.array_sort(F.when(settled, left).otherwise(codes))
+    """Review codes with those that a proposal asks for.
+
+    A proposal that asks for none and drops or renews inactive records settles the
+    reviews of those, but only where nothing else blocks the run.
+    """
+    every = F.array_union(codes, proposed)
+    settled = (superseded > 0) & (open_findings == 0) & (open_gaps == 0) & (F.size(proposed) == 0)
+    return F.array_sort(F.when(settled, F.filter(every, lambda c: ~c.isin(*STALE_REVIEWS))).otherwise(every))
 
 
 def review_cleared(status: Column, codes: Column, owners_proven: Column, by_owners: Column) -> Column:

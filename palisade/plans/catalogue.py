@@ -586,7 +586,7 @@ def q56_policy_review(t: Tables) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'error' AND value > 90) AS findings, count(*) FILTER (event_type = 'signup' AND value > 90) AS gaps, count(*) FILTER (event_type = 'purchase') AS superseded, bool_or(event_type = 'click' AND value > 80) AS asked, bool_or(event_type = 'view') AS moved FROM events GROUP BY 1),
-c AS (SELECT *, superseded > 0 AND findings = 0 AND gaps = 0 AS settled FROM g), r AS (SELECT *, concat_ws(',', CASE WHEN settled AND asked THEN 'coverage_acceptance_review' END, 'gate_integrity_review', CASE WHEN NOT settled OR asked THEN 'waiver_review' END) AS codes FROM c),
+c AS (SELECT *, superseded > 0 AND findings = 0 AND gaps = 0 AS settled FROM g), r AS (SELECT *, concat_ws(',', CASE WHEN asked THEN 'coverage_acceptance_review' END, 'gate_integrity_review', CASE WHEN NOT settled OR asked THEN 'waiver_review' END) AS codes FROM c),
 s AS (SELECT *, CASE WHEN findings > 0 THEN 'FAIL' WHEN gaps > 0 THEN 'INCONCLUSIVE' ELSE 'REVIEW' END AS status FROM r) SELECT user_id, status, codes, status = 'REVIEW' AND user_id % 2 = 0 AND codes = 'gate_integrity_review' AS cleared FROM s""")
 def q57_review_boundary(t: Tables) -> DataFrame:
     kind = lambda k, least=None: (F.col("event_type") == k) & (F.lit(True) if least is None else F.col("value") > least)

@@ -83,8 +83,8 @@ def verdicts(checked: DataFrame, faults: DataFrame | None = None, asked: DataFra
     """(run_id, status, exit_code, reason_codes) of each run.
 
     faults: run_id, code of further faults. asked: run_id, codes of further reviews.
-    proposal: what ``policy_review`` gives; one with records that are not valid is a
-    fault. drifted: run_id of runs whose target must not have moved on, but has.
+    proposal: what ``policy_review`` gives; it asks for a review, and one with records
+    that are not valid is a fault. drifted: run_id of runs whose target must not have moved on, but has.
     """
     none = F.array().cast("array<string>")
     every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
@@ -96,9 +96,12 @@ def verdicts(checked: DataFrame, faults: DataFrame | None = None, asked: DataFra
     v = v.join(facts(asked, every("codes").alias("asked")), "run_id", "left")
     v = v.join(facts(proposal, F.max("superseded").alias("superseded"), F.max("invalid").alias("invalid"), every("codes").alias("proposed")), "run_id", "left")
     v = v.join(facts(drifted, F.first(F.lit(True)).alias("drifted")), "run_id", "left")
-    codes = F.array_union("reviews", F.coalesce("asked", none))
-    codes = review.after_proposal(codes, F.coalesce("proposed", none), F.coalesce("superseded", F.lit(0)), F.col("findings"), F.col("gaps"))
-    wrong = F.array_union(F.coalesce("faults", none), F.when(F.col("invalid") > 0, F.array(F.lit("invalid_policy"))).otherwise(none))
+    proposes = F.when(F.col("proposed").isNotNull(), F.array(F.lit("policy_change_review"))).otherwise(none)
+    codes = F.array_union(F.array_union("reviews", F.coalesce("asked", none)), proposes)
+    broken = F.coalesce(F.col("invalid") > 0, F.lit(False))
+    proposed = F.when(broken, F.array(F.lit("gate_integrity_review"))).otherwise(F.coalesce("proposed", none))
+    codes = review.after_proposal(codes, proposed, F.coalesce("superseded", F.lit(0)), F.col("findings"), F.col("gaps"))
+    wrong = F.array_union(F.coalesce("faults", none), F.when(broken, F.array(F.lit("invalid_policy"))).otherwise(none))
     moved = F.coalesce("drifted", F.lit(False))
     v = v.select("*", codes.alias("codes"), wrong.alias("wrong"), moved.alias("moved"))
     status = algebra.verdict(F.col("error") | (F.size("wrong") > 0), F.col("findings") > 0, (F.col("gaps") > 0) | F.col("moved"), F.size("codes") > 0)

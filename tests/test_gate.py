@@ -150,9 +150,9 @@ def test_reviews_faults_and_drift(spark):
         "policy": ("REVIEW", 4, ["gate_integrity_review", "policy_change_review"]),
         "moved": ("REVIEW", 4, ["gate_integrity_review"]),
         "drift": ("INCONCLUSIVE", 2, ["target_drift"]),
-        "renewed": ("PASS", 0, []),
-        "stale": ("PASS", 0, []),
-        "late": ("ERROR", 3, ["invalid_policy"]),
+        "renewed": ("REVIEW", 4, ["policy_change_review"]),
+        "stale": ("REVIEW", 4, ["policy_change_review", "waiver_review"]),
+        "late": ("ERROR", 3, ["gate_integrity_review", "invalid_policy", "policy_change_review"]),
         "gone": ("ERROR", 3, ["missing_git_object"]),
         "huge": ("INCONCLUSIVE", 2, ["parse_resource_limit"]),
     }
