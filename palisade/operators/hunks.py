@@ -36,6 +36,12 @@ def innermost(overlap: DataFrame, hunk_keys: list[str], name: str = "qname", ord
     return ranked.groupBy(*hunk_keys).agg(F.max_by(name, "place").alias("innermost"), F.bool_or("apart").alias("conflict"), F.count(F.lit(1)).alias("touched"))
 
 
+def touches(spans: Column, start: Column, count: Column) -> Column:
+    """Whether a range of lines meets one of the spans; no lines meet none, nor do no spans."""
+    met = F.exists(spans, lambda s: (s["start_line"] <= start + count - 1) & (s["end_line"] >= start))
+    return (count > 0) & F.coalesce(met, F.lit(False))
+
+
 def classify(base: Column, head: Column, new_count: Column, base_has_head: Column, head_has_base: Column, safe: Column) -> Column:
     """What a hunk does, from the innermost entities on both sides."""
     return (

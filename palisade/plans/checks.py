@@ -117,7 +117,12 @@ class Change:
         names_of = lambda side, c: self.entities(side).select(F.col("run_id").alias(f"_{c}r"), F.col("qname").alias(f"_{c}q")).distinct()
         h = h.join(names_of("base", "b"), (F.col("run_id") == F.col("_br")) & (F.col("head") == F.col("_bq")), "left").join(names_of("head", "h"), (F.col("run_id") == F.col("_hr")) & (F.col("base") == F.col("_hq")), "left")
         conflict = F.coalesce("base_conflict", F.lit(False)) | F.coalesce("head_conflict", F.lit(False))
-        change = hunk_ops.classify(F.col("base"), F.col("head"), F.col("new_count"), F.col("_bq").isNotNull(), F.col("_hq").isNotNull(), ~conflict)
+        # Beside entities, only lines of plain declarations may change.
+        for side in ("base", "head"):
+            h = h.join(self.side(side).select("run_id", "path", F.col("unsafe").alias(f"{side}_unsafe")), ["run_id", "path"], "left")
+        met = hunk_ops.touches(F.col("base_unsafe"), F.col("old_start"), F.col("old_count")) | hunk_ops.touches(F.col("head_unsafe"), F.col("new_start"), F.col("new_count"))
+        safe = ~conflict & ~met & ((F.col("old_count") > 0) | (F.col("new_count") > 0))
+        change = hunk_ops.classify(F.col("base"), F.col("head"), F.col("new_count"), F.col("_bq").isNotNull(), F.col("_hq").isNotNull(), safe)
         return settle(h.select(*keys, F.when(~conflict, F.coalesce("head", "base")).alias("qname"), F.when(conflict, "mapping_unresolved").otherwise(change).alias("change")))
 
     @functools.cached_property

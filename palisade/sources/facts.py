@@ -25,11 +25,20 @@ PARAM = "struct<name:string,kind:string,has_default:boolean>"
 ENTITY = f"struct<qname:string,name:string,kind:string,start_line:int,end_line:int,body_digest:string,is_export:boolean,is_async:boolean,params:array<{PARAM}>>"
 CALL = "struct<callee:string,line:int,end_line:int,positional:int,keywords:array<string>,star:boolean,kwargs:boolean,shadowed:boolean>"
 IMPORT = "struct<module:string,names:array<string>,line:int,level:int,aliases:array<struct<orig:string,local:string>>>"
-FACTS = f"language string, supported boolean, parse_error string, dynamic boolean, unknown_decorator boolean, entities array<{ENTITY}>, calls array<{CALL}>, imports array<{IMPORT}>, exports array<string>, loads array<string>"
+SPAN = "struct<start_line:int,end_line:int>"
+FACTS = f"language string, supported boolean, parse_error string, dynamic boolean, unknown_decorator boolean, entities array<{ENTITY}>, calls array<{CALL}>, imports array<{IMPORT}>, exports array<string>, loads array<string>, unsafe array<{SPAN}>"
+
+
+# Callees whose result, of constants, is a constant.
+CONVERTERS = ("Path", "pathlib.Path", "int", "float", "str", "bool", "tuple", "list", "dict", "set", "frozenset")
+#: A span that holds every line of a file.
+WHOLE = {"start_line": 1, "end_line": 2**31 - 1}
 
 
 def _empty(language: str, supported: bool, error: str | None = None) -> dict:
-    return {"language": language, "supported": supported, "parse_error": error, "dynamic": False, "unknown_decorator": False, "entities": [], "calls": [], "imports": [], "exports": [], "loads": []}
+    """Facts of a file that holds nothing; where code cannot be told apart, all its lines are unsafe."""
+    unsafe = [WHOLE] if language not in ("text", "unsupported") else []
+    return {"unsafe": unsafe, "language": language, "supported": supported, "parse_error": error, "dynamic": False, "unknown_decorator": False, "entities": [], "calls": [], "imports": [], "exports": [], "loads": []}
 
 
 def _dotted(node: ast.AST) -> str:
@@ -53,6 +62,24 @@ def _params(a: ast.arguments) -> list[dict]:
     return [{"name": n, "kind": k, "has_default": d} for n, k, d in out]
 
 
+def _is_constant(node: ast.AST) -> bool:
+    """Whether an expression is made of constants, containers, operators and plain conversions alone."""
+    if isinstance(node, ast.Call):
+        return _dotted(node.func) in CONVERTERS and all(map(_is_constant, node.args))
+    if isinstance(node, (ast.List, ast.Tuple, ast.Set, ast.Dict, ast.UnaryOp, ast.BinOp)):
+        return all(_is_constant(x) for x in ast.iter_child_nodes(node) if isinstance(x, ast.expr))
+    return isinstance(node, ast.Constant)
+
+
+def _is_safe(statement: ast.stmt) -> bool:
+    """Whether a statement of a module only declares: imports, definitions, constants, texts."""
+    if isinstance(statement, (ast.Assign, ast.AnnAssign)):
+        return statement.value is None or _is_constant(statement.value)
+    if isinstance(statement, ast.Expr):
+        return isinstance(statement.value, ast.Constant)
+    return isinstance(statement, (ast.Import, ast.ImportFrom, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))
+
+
 def _too_large(tree: ast.AST) -> bool:
     level, nodes, depth = [tree], 0, 0
     while level:
@@ -92,7 +119,8 @@ def python_facts(path: str, source: bytes) -> dict:
         return _empty("python", True, f"{type(e).__name__}: {e}"[:200])
     if _too_large(tree):
         return _empty("python", True, "parse_resource_limit: syntax tree")
-    out, module = _empty("python", True), path.rsplit(".", 1)[0] if "." in path.rsplit("/", 1)[-1] else path
+    out = _empty("python", True) | {"unsafe": [{"start_line": n.lineno, "end_line": n.end_lineno} for n in tree.body if not _is_safe(n)]}
+    module = path.rsplit(".", 1)[0] if "." in path.rsplit("/", 1)[-1] else path
     for n in tree.body:
         targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []
         if any(isinstance(x, ast.Name) and x.id == "__all__" for x in targets) and isinstance(n.value, (ast.List, ast.Tuple)):
@@ -271,7 +299,7 @@ def _parse(batches):
 
     for part in batches:
         rows = [file_facts(p, bytes(c) if c is not None else b"") for p, c in zip(part["path"], part["content"], strict=True)]
-        yield pd.concat([part[["path", "blob_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["language", "supported", "parse_error", "dynamic", "unknown_decorator", "entities", "calls", "imports", "exports", "loads"])], axis=1)
+        yield pd.concat([part[["path", "blob_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["language", "supported", "parse_error", "dynamic", "unknown_decorator", "entities", "calls", "imports", "exports", "loads", "unsafe"])], axis=1)
 
 
 def source_facts(files: DataFrame) -> DataFrame:

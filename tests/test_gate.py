@@ -20,6 +20,11 @@ CASES = {
     "denied_symbol": ({"a.py": LIB}, {"a.py": LIB.replace("a + b", "a - b")}, '[deny.R1]\nsymbols = ["a:helper"]\n', ("grounding", "FAIL", "COMPLETE"), {"GRD-UNGROUNDED-EDIT"}, set()),
     "binary_denied": ({"b.bin": "a\0b"}, {"b.bin": "a\0c"}, '[deny.R1]\npaths = ["*.bin"]\n', ("grounding", "FAIL", "COMPLETE"), {"GRD-UNGROUNDED-EDIT"}, set()),
     "syntax_error": ({"a.py": "x = 1\n"}, {"a.py": "x = (\n"}, "", ("grounding", "INCONCLUSIVE", "UNKNOWN"), set(), {"parse_error"}),
+    "module_constant": ({"a.py": "X = 1\n"}, {"a.py": "import os\nX = [-2, int('3'), {'k': Path('a')}]\n"}, "", ("grounding", "PASS", "COMPLETE"), set(), set()),
+    "module_effect": ({"a.py": "X = 1\n"}, {"a.py": "X = load(1)\n"}, "", ("grounding", "INCONCLUSIVE", "PARTIAL"), set(), {"mapping_unresolved"}),
+    "module_effect_gone": ({"a.py": "X = 1\nrun()\n"}, {"a.py": "X = 1\n"}, "", ("grounding", "INCONCLUSIVE", "PARTIAL"), set(), {"mapping_unresolved"}),
+    "effect_untouched": ({"a.py": "run()\nX = 1\n"}, {"a.py": "run()\nX = 2\n"}, "", ("grounding", "PASS", "COMPLETE"), set(), set()),
+    "script_statement": ({"a.ts": "let x = 1;\n"}, {"a.ts": "let x = 2;\n"}, "", ("grounding", "INCONCLUSIVE", "PARTIAL"), set(), {"mapping_unresolved"}),
     "go": ({"a.go": "package a\n"}, {"a.go": "package b\n"}, "", ("contract", "INCONCLUSIVE", "UNKNOWN"), set(), {"unsupported_language"}),
     "public_removed": ({"pkg/lib.py": "__all__ = ['helper']\n" + LIB}, {"pkg/lib.py": "def _private(x):\n    return x\n"}, "", ("deletion", "FAIL", "COMPLETE"), {"DEL-REACHABLE-SYMBOL"}, set()),
     "policy_public": ({"pkg/lib.py": LIB}, {"pkg/lib.py": "X = 1\n"}, '[public_api]\nsymbols = ["pkg/lib:helper"]\n', ("deletion", "FAIL", "COMPLETE"), {"DEL-REACHABLE-SYMBOL", "CTR-EXPORT-BREAK"}, set()),
