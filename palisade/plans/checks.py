@@ -54,8 +54,8 @@ def finding(rows: DataFrame, check: str, defect: Column | str, path: Column, sym
     return rows.select("run_id", F.lit(check).alias("check_id"), d.alias("defect_id"), F.try_element_at(code, d).alias("reason_code"), path.alias("path"), symbol.alias("symbol"), line.cast("int").alias("line"), F.try_element_at(kind, d).alias("evidence_kind"), F.to_json(identity).alias("identity"), message.alias("message"))
 
 
-def gap(rows: DataFrame, check: str, code: Column | str, path: Column, symbol: Column, detail: Column) -> DataFrame:
-    return rows.select("run_id", F.lit(check).alias("check_id"), (F.lit(code) if isinstance(code, str) else code).alias("reason_code"), path.alias("path"), symbol.alias("symbol"), detail.cast("string").alias("detail"))
+def gap(rows: DataFrame, check: Column | str, code: Column | str, path: Column, symbol: Column, detail: Column) -> DataFrame:
+    return rows.select("run_id", (F.lit(check) if isinstance(check, str) else check).alias("check_id"), (F.lit(code) if isinstance(code, str) else code).alias("reason_code"), path.alias("path"), symbol.alias("symbol"), detail.cast("string").alias("detail"))
 
 
 def union(*parts: DataFrame) -> DataFrame:

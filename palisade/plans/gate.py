@@ -17,9 +17,33 @@ from palisade.plans import checks
 
 # Gaps that may be accepted, and gaps that leave a check's scope unknown.
 ACCEPTABLE = ("mapping_unresolved", "dynamic_target_unresolved", "dynamic_call", "unknown_decorator", "unresolved_import", "unknown_call_on_path", "frontend_capability_missing", "unsupported_language", "unsupported_syntax_version", "lfs_content_unavailable")
+# What a check may look at, entities of changed files on both sides and calls.
+MOST_ENTITIES, MOST_CALLS = 20_000, 10_000
 SCOPE_GAPS = ("unsupported_language", "parse_error", "parse_resource_limit")
 
 
+def over_budget(change: checks.Change, entities: int = MOST_ENTITIES, calls: int = MOST_CALLS) -> DataFrame:
+    """(run_id, check_id, used): checks that would have to look at more than they may."""
+
+    def side(name: str) -> DataFrame:
+        paths = change.entries.where("not is_binary").select("run_id", F.col(f"{name}_path").alias("path"))
+        return change.entities(name).join(paths, ["run_id", "path"], "left_semi")
+
+    seen = review.enumerated(side("base"), side("head"), ["run_id"], "qname").where(F.col("enumerated") > entities)
+    own = seen.select("run_id", F.explode(F.array(*[F.lit(c) for c in checks.CHECKS if c != "security"])).alias("check_id"), F.col("enumerated").alias("used"))
+    asked = change.calls().join(change.entries.select("run_id", F.col("head_path").alias("path")), ["run_id", "path"], "left_semi")
+    asked = asked.groupBy("run_id").agg(F.count(F.lit(1)).alias("used")).where(F.col("used") > calls)
+    return own.union(asked.select("run_id", F.lit("contract"), "used")).groupBy("run_id", "check_id").agg(F.max("used").alias("used"))
+
+
+def without_exhausted(findings: DataFrame, gaps: DataFrame, over: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """findings and gaps where a check over its budget has the one gap that says so, whatever it found."""
+    null = F.lit(None).cast("string")
+    keys = ["run_id", "check_id"]
+    told = checks.gap(over, F.col("check_id"), "budget_exhausted", null, null, F.col("used"))
+    return findings.join(over, keys, "left_anti").select(findings.columns), gaps.join(over, keys, "left_anti").select(gaps.columns).union(told)
+
+
 def run_checks(change: checks.Change) -> tuple[DataFrame, DataFrame]:
     """(findings, gaps) of all checks, findings with their fingerprint, the first of each."""
     both = [tuple(settle(t) for t in getattr(checks, name)(change)) for name in checks.CHECKS]
@@ -109,7 +133,7 @@ def verdicts(checked: DataFrame, faults: DataFrame | None = None, asked: DataFra
     return v.select("run_id", status.alias("status"), algebra.exit_code(status).alias("exit_code"), F.array_sort(told).alias("reason_codes"))
 
 
-def gate(files: DataFrame, rules: DataFrame, records: DataFrame, as_of: str, faults: DataFrame | None = None, fatal: DataFrame | None = None, proposed: DataFrame | None = None, drifted: DataFrame | None = None, policy: str = review.POLICY) -> dict[str, DataFrame]:
+def gate(files: DataFrame, rules: DataFrame, records: DataFrame, as_of: str, faults: DataFrame | None = None, fatal: DataFrame | None = None, proposed: DataFrame | None = None, drifted: DataFrame | None = None, policy: str = review.POLICY, most_entities: int = MOST_ENTITIES, most_calls: int = MOST_CALLS) -> dict[str, DataFrame]:
     """All tables of a gate: findings, gaps, results and verdicts.
 
     fatal: run_id, code of runs that could not be looked at. proposed: records of the
@@ -117,7 +141,7 @@ def gate(files: DataFrame, rules: DataFrame, records: DataFrame, as_of: str, fau
     at ``policy``, ask for a review.
     """
     change = checks.Change(files, rules)
-    findings, gaps = run_checks(change)
+    findings, gaps = without_exhausted(*run_checks(change), settle(over_budget(change, most_entities, most_calls)))
     findings = settle(apply_waivers(findings, records, as_of))
     gaps = settle(apply_acceptances(gaps, records, as_of))
     named = lambda df, *names: functools.reduce(DataFrame.union, [df.select("run_id", F.lit(n).alias("check_id")) for n in names]).distinct()

@@ -163,3 +163,17 @@ def test_reviews_faults_and_drift(spark):
     }
     outcomes = {(r.run_id, r.check_id): (r.outcome, r.coverage) for r in made["results"].where("run_id in ('gone', 'huge')").collect()}
     assert len(outcomes) == 10 and set(outcomes.values()) == {("ERROR", "UNKNOWN"), ("INCONCLUSIVE", "PARTIAL")}
+
+
+def test_budgets_decide_whatever_was_found(spark):
+    """Entities are counted once over both sides; a check over its budget has no finding and one gap."""
+    base, head = "def f(a):\n    return a\n\n\ndef g():\n    return f(1)\n", "def f(a, b):\n    return a\n\n\ndef g():\n    return f(1)\n\n\ndef h():\n    return 1\n"
+    rows = [("r", s, "a.py", "100644", s, t.encode()) for s, t in (("base", base), ("head", head))]
+    files = spark.createDataFrame(rows, "run_id string, side string, path string, mode string, blob_id string, content binary")
+    rules, records = policy_tables(spark, {"r": parse_policy(b'[deny.R]\npaths = ["*.py"]\n')})
+    told = lambda **budget: {r.check_id: (r.outcome, r.coverage, r.reason_codes) for r in gate.gate(files, rules, records, "2026-01-01", **budget)["results"].collect()}
+    exhausted = ("INCONCLUSIVE", "PARTIAL", ["budget_exhausted"])
+    free, tight, calls = told(most_entities=3, most_calls=1), told(most_entities=2), told(most_calls=0)
+    assert free["grounding"][0] == free["contract"][0] == "FAIL"
+    assert [tight[c] for c in ("grounding", "deletion", "contract", "semantic")] == [exhausted] * 4 and tight["security"][0] == "PASS"
+    assert calls["contract"] == exhausted and calls["grounding"] == free["grounding"]
