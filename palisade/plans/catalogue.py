@@ -274,10 +274,11 @@ WORDS_FOR = [("ChangeMe",), ("your_key_here",), ("<token>",), (" real-Value-9f8e
 PLACEHOLDER_SQL = "lower(trim(v)) IN " + str(text.PLACEHOLDERS) + " OR " + " OR ".join(f"starts_with(lower(trim(v)), '{p}')" for p in text.PLACEHOLDER_STARTS) + f" OR regexp_matches(lower(trim(v)), '{text.PLACEHOLDER_INSIDE}')"
 
 
-@query("WITH w(v) AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}')" for (w,) in WORDS_FOR) + f") UNION ALL SELECT split_part(text, ' ', 1) FROM documents) SELECT v, ({PLACEHOLDER_SQL}) AS placeholder, count(*) AS n FROM w GROUP BY 1, 2")
+@query("WITH w(v) AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}')" for (w,) in WORDS_FOR) + f") UNION ALL SELECT unnest(string_split(text, ' ')) FROM documents) SELECT v, ({PLACEHOLDER_SQL}) AS placeholder, count(*) AS n FROM w GROUP BY 1, 2")
 def q21_placeholder_filter(t: Tables) -> DataFrame:
-    w = t.rows("v string", *WORDS_FOR).union(t.documents.select(F.split_part("text", F.lit(" "), F.lit(1))))
-    return w.groupBy("v", text.is_placeholder(F.col("v")).alias("placeholder")).agg(F.count(F.lit(1)).alias("n"))
+    w = t.rows("v string", *WORDS_FOR).union(t.documents.select(F.explode(F.split("text", " "))))
+    # Each distinct word is judged once.
+    return w.groupBy("v").agg(F.count(F.lit(1)).alias("n")).select("v", text.is_placeholder(F.col("v")).alias("placeholder"), "n")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 8 THEN '***' ELSE left(text, 4) || '…' || right(text, 2) || ' (len=' || length(text) || ')' END AS shown FROM documents")
@@ -585,18 +586,18 @@ def q56_policy_review(t: Tables) -> DataFrame:
     return found.withColumn("codes", F.array_join("codes", ","))
 
 
-@query("""WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'error' AND value > 90) AS findings, count(*) FILTER (event_type = 'signup' AND value > 90) AS gaps, count(*) FILTER (event_type = 'purchase') AS superseded, bool_or(event_type = 'click' AND value > 80) AS asked, bool_or(event_type = 'view') AS moved FROM events GROUP BY 1),
+@query("""WITH g AS (SELECT event_id % 2000 AS run_id, count(*) FILTER (event_type = 'error' AND value > 90) AS findings, count(*) FILTER (event_type = 'signup' AND value > 90) AS gaps, count(*) FILTER (event_type = 'purchase') AS superseded, bool_or(event_type = 'click' AND value > 80) AS asked FROM events GROUP BY 1),
 c AS (SELECT *, superseded > 0 AND findings = 0 AND gaps = 0 AS settled FROM g), r AS (SELECT *, concat_ws(',', CASE WHEN asked THEN 'coverage_acceptance_review' END, 'gate_integrity_review', CASE WHEN NOT settled OR asked THEN 'waiver_review' END) AS codes FROM c),
-s AS (SELECT *, CASE WHEN findings > 0 THEN 'FAIL' WHEN gaps > 0 THEN 'INCONCLUSIVE' ELSE 'REVIEW' END AS status FROM r) SELECT user_id, status, codes, status = 'REVIEW' AND user_id % 2 = 0 AND codes = 'gate_integrity_review' AS cleared FROM s""")
+s AS (SELECT *, CASE WHEN findings > 0 THEN 'FAIL' WHEN gaps > 0 THEN 'INCONCLUSIVE' ELSE 'REVIEW' END AS status FROM r) SELECT run_id, status, codes, status = 'REVIEW' AND run_id % 2 = 0 AND codes = 'gate_integrity_review' AS cleared FROM s""")
 def q57_review_boundary(t: Tables) -> DataFrame:
     kind = lambda k, least=None: (F.col("event_type") == k) & (F.lit(True) if least is None else F.col("value") > least)
-    g = t.events.groupBy("user_id").agg(F.count_if(kind("error", 90)).alias("findings"), F.count_if(kind("signup", 90)).alias("gaps"), F.count_if(kind("purchase")).alias("superseded"), F.bool_or(kind("click", 80)).alias("asked"))
+    g = t.events.groupBy((F.col("event_id") % 2000).alias("run_id")).agg(F.count_if(kind("error", 90)).alias("findings"), F.count_if(kind("signup", 90)).alias("gaps"), F.count_if(kind("purchase")).alias("superseded"), F.bool_or(kind("click", 80)).alias("asked"))
     codes = F.array(F.lit("gate_integrity_review"), F.lit("waiver_review"))
     proposed = F.when(F.col("asked"), F.array(F.lit("coverage_acceptance_review"))).otherwise(F.array().cast("array<string>"))
     g = g.withColumn("codes", review.after_proposal(codes, proposed, F.col("superseded"), F.col("findings"), F.col("gaps")))
     g = g.withColumn("status", gate.verdict(F.lit(False), F.col("findings") > 0, F.col("gaps") > 0, F.size("codes") > 0))
-    cleared = review.review_cleared(F.col("status"), F.col("codes"), F.col("user_id") % 2 == 0, F.lit(True))
-    return g.select("user_id", "status", F.array_join("codes", ",").alias("codes"), cleared.alias("cleared"))
+    cleared = review.review_cleared(F.col("status"), F.col("codes"), F.col("run_id") % 2 == 0, F.lit(True))
+    return g.select("run_id", "status", F.array_join("codes", ",").alias("codes"), cleared.alias("cleared"))
 
 
 CHECK_NAMES = ("grounding", "deletion", "contract", "semantic", "security")
