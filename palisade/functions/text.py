@@ -30,6 +30,20 @@ SECRET_PATTERNS = {
     "URI_CREDENTIAL": r"\b(?:postgres(?:ql)?|mysql|mariadb|mongodb\+srv|mongodb|redis|rediss|amqps?|mssql|sqlserver|ftps?|ssh|ldap|jdbc)://[^\s:/@]{1,64}:[^\s@]{4,128}@[^\s]{3,}",
 }
 
+#: Of each kind, texts of which every match holds one.
+SECRET_MARKS = {
+    "AWS_KEY": ("AKIA", "ABIA", "ACCA", "ASIA"),
+    "GITHUB_TOKEN": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
+    "SLACK_TOKEN": ("xox",),
+    "SLACK_WEBHOOK": ("hooks.slack.com",),
+    "STRIPE_KEY": ("k_live_",),
+    "OPENAI_KEY": ("sk-",),
+    "GOOGLE_KEY": ("AIza",),
+    "PRIVATE_KEY": ("PRIVATE KEY-----",),
+    "JWT_TOKEN": ("eyJ",),
+    "URI_CREDENTIAL": ("://",),
+}
+
 # Calls that run text as code or shell, by rule.
 DANGEROUS_CALLS = {
     "eval": r"\beval\s*\(",
@@ -48,6 +62,14 @@ TAINT_SOURCE = r"request\.(?:args|form|json|data|values|get_json)|input\s*\(|sys
 TAINT_SINK = r"execute\s*\(|executemany\s*\(|subprocess\.|os\.system\s*\(|open\s*\(|\.innerHTML\s*=|eval\s*\(|exec\s*\(|pickle\.loads\s*\("
 
 
+def secret_matches(text: Column, kind: str) -> Column:
+    """All matches of a kind of secret; the expression runs only on texts that hold one of the kind's marks."""
+    marked = F.lit(False)
+    for mark in SECRET_MARKS[kind]:
+        marked = marked | F.contains(text, F.lit(mark))
+    return F.when(marked, F.regexp_extract_all(text, F.lit(SECRET_PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text, without a last empty one."""
     parts = F.split(text, LINE_END)

@@ -266,7 +266,7 @@ def q20_secret_pattern_scan(t: Tables) -> DataFrame:
     body = t.rows("id string, body string", *SAMPLES)
     body = body.union(t.conversations.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")), "text"))
     body = body.union(t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")), "text")).union(t.pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")), "url"))
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.size(F.regexp_extract_all("body", F.lit(rx), F.lit(0))).cast("long").alias("n")) for k, rx in PATTERNS.items()])
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.size(text.secret_matches(F.col("body"), k)).cast("long").alias("n")) for k in PATTERNS])
     return body.select("id", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("x")).select("id", "x.kind", "x.n")
 
 
