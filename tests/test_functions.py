@@ -86,3 +86,35 @@ def test_statistics(spark):
     assert ci["b"].low == 0.0 and abs(ci["b"].high - (6 + 12.706 * math.sqrt(2) / math.sqrt(2))) < 1e-5
     low, high = map(float, df.groupBy("g").agg(stats.bootstrap_ci(0.5, 200)("v").alias("x")).where("g = 'a'").first().x.split(","))
     assert 30 < low <= 50 <= high < 70
+
+
+def test_bootstrap_of_groups_in_many_tasks_equals_resamples_drawn_one_by_one(spark, monkeypatch):
+    import random
+
+    from palisade.plans import catalogue
+
+    def drawn(own, q, resamples, seed):
+        rng, found = random.Random(seed), []
+        for _ in range(resamples):
+            found.append(sorted(rng.choices(own, k=len(own)))[max(0, math.ceil(q * len(own)) - 1)])
+        found.sort()
+        return found[int(0.025 * resamples)], found[int(0.975 * resamples) - 1]
+
+    monkeypatch.setattr(stats, "DRAWS", 256)
+    monkeypatch.setattr(stats, "FEW", 100)
+    for n in (1, 2, 99, 256, 257, 1000):
+        for q in (0.0, 0.01, 0.5, 0.95, 1.0):
+            assert stats.bootstrap_ranks(n, q, 40, 2**40 + 3) == drawn(range(n), q, 40, 2**40 + 3)
+    nan = float("nan")
+    groups = {"a": [float(x * x % 811) for x in range(3000)], None: [1.5, None, nan, -2.0], "c": [7.25] * 40 + [0.0, -1e9], "d": [None], "e": [float("inf"), 1e300]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    got = {r.g: r.interval for r in stats.bootstrap(df, ["g"], "v", 0.5, 60).collect()}
+    greatest = lambda v: (v is None or math.isnan(v), 0 if v is None else v)
+    for g, vs in groups.items():
+        own = sorted(vs, key=greatest)
+        low, high = drawn(range(len(own)), 0.5, 60, 42)
+        assert got[g] == ",".join(f"{nan if own[i] is None else own[i]:.6g}" for i in (low, high)), g
+    assert len(got) == len(groups) and stats.bootstrap(df.limit(0), ["g"], "v", 0.5).collect() == []
+    # No worker is given a whole group's values.
+    plan = catalogue.QUERIES["q53_bootstrap_ci"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "PythonUDAF" not in plan and "AggregateInPandas" not in plan and "ArrowAggregatePython" not in plan
