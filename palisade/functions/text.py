@@ -92,12 +92,42 @@ def assignment_name(line: Column) -> Column:
     return F.when(F.contains(line, F.lit("=")) & last.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), last)
 
 
+#: ASCII characters, those first that are frequent in prose; any order gives the same counts.
+OFTEN = " etaonirshdlcumfpgywbvk"
+OFTEN += "".join(sorted({chr(i) for i in range(128)} - set(OFTEN)))
+
+
 def entropy(value: Column) -> Column:
-    """Shannon entropy in bits a character; 0 for an empty text."""
-    n = F.char_length(value).cast("double")
-    count = lambda c: n - F.char_length(F.replace(value, c, F.lit("")))
-    distinct = F.array_distinct(F.filter(F.split(value, ""), lambda c: c != ""))
-    return F.aggregate(distinct, F.lit(0.0), lambda s, c: s - count(c) / n * F.log2(count(c) / n))
+    """Shannon entropy in bits a character; 0 for an empty text.
+
+    ASCII characters are taken out of the text one after the other, so that each is
+    looked for only in what the ones before it left. The characters then left are
+    sorted and their runs counted, however many are distinct.
+    """
+    state = lambda rest, left, bits: F.struct(rest.alias("rest"), left.alias("left"), bits.alias("bits"))
+
+    def term(count: Column, n: Column) -> Column:
+        return F.when(count > 0, count / n * F.log2(count / n)).otherwise(0.0)
+
+    def whole(n: Column) -> Column:
+        def take(s: Column, c: Column) -> Column:
+            put = lambda rest: _once(F.char_length(rest), lambda left: state(rest, left, s["bits"] - term(s["left"] - left, n)))
+            return F.when(s["left"] == 0, s).otherwise(_once(F.replace(s["rest"], c, F.lit("")), put))
+
+        def runs(s: Column) -> Column:
+            step = lambda r, c: F.when(r["rest"] == c, state(c, r["left"] + 1, r["bits"])).otherwise(state(c, F.lit(1), r["bits"] - term(r["left"], n)))
+            characters = F.array_remove(F.sort_array(F.split(s["rest"], "")), "")
+            return F.aggregate(characters, state(F.lit(""), F.lit(0), s["bits"]), step, lambda r: r["bits"] - term(r["left"], n))
+
+        ascii_out = F.aggregate(F.array(*[F.lit(c) for c in OFTEN]), state(value, n, F.lit(0.0)), take)
+        return _once(ascii_out, lambda s: F.when(s["left"] == 0, s["bits"]).otherwise(runs(s)))
+
+    return F.when(value.isNotNull(), _once(F.char_length(value), whole))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def is_placeholder(value: Column) -> Column:

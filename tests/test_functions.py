@@ -118,3 +118,18 @@ def test_bootstrap_of_groups_in_many_tasks_equals_resamples_drawn_one_by_one(spa
     # No worker is given a whole group's values.
     plan = catalogue.QUERIES["q53_bootstrap_ci"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "PythonUDAF" not in plan and "AggregateInPandas" not in plan and "ArrowAggregatePython" not in plan
+
+
+def test_entropy_grows_with_the_length_whatever_the_number_of_characters(spark):
+    import time
+
+    assert sorted(text.OFTEN) == [chr(i) for i in range(128)]
+    many = "".join(chr(i) for i in range(0x3400, 0x3400 + 20000))
+    cases = {"": 0.0, "\x00a\x00a": 1.0, many + many: math.log2(20000), "aé漢😀" * 3: 2.0, " \n": 1.0, "zzzz": 0.0, "e\u0301e": -sum(p * math.log2(p) for p in (2 / 3, 1 / 3))}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(cases)] + [(99, None)], "i int, v string")
+    began = time.monotonic()
+    got = {r.i: r.x for r in df.select("i", text.entropy(F.col("v")).alias("x")).collect()}
+    assert time.monotonic() - began < 20
+    assert got.pop(99) is None
+    for (v, want), x in zip(cases.items(), (got[i] for i in range(len(cases))), strict=True):
+        assert abs(x - want) < 1e-9, v[:10]
