@@ -109,8 +109,12 @@ def _hunks(t: Tables) -> DataFrame:
     return t.lineitem.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("hunk_no"), ((F.col("l_partkey") % 60).cast("int") + 1).alias("start"), (F.col("l_suppkey") % 7).cast("int").alias("count"))
 
 
+def _overlaps(t: Tables) -> DataFrame:
+    return hunks.overlaps(_hunks(t), _entities(t), ["path"], parts=hunks.pieces(t.lineitem))
+
+
 def _innermost(t: Tables) -> DataFrame:
-    return hunks.innermost(hunks.overlaps(_hunks(t), _entities(t), ["path"]), ["path", "hunk_no"])
+    return hunks.innermost(_overlaps(t), ["path", "hunk_no"])
 
 
 @query(f"WITH h AS ({HUNKS_SQL}), l AS (SELECT DISTINCT path, unnest(range(start, start + greatest(count, 1))) AS line FROM h) SELECT path, count(*) AS lines, CAST(min(line) AS BIGINT) AS first_line, CAST(max(line) AS BIGINT) AS last_line FROM l GROUP BY 1")
@@ -121,7 +125,7 @@ def q05_changed_lines_expand(t: Tables) -> DataFrame:
 
 @query(f"WITH {OVERLAP_SQL} SELECT path, hunk_no, qname, start, count, start_line, end_line FROM o")
 def q06_hunk_entity_overlap(t: Tables) -> DataFrame:
-    return hunks.overlaps(_hunks(t), _entities(t), ["path"]).select("path", "hunk_no", "qname", "start", "count", "start_line", "end_line")
+    return _overlaps(t).select("path", "hunk_no", "qname", "start", "count", "start_line", "end_line")
 
 
 @query(f"WITH {INNER_SQL} SELECT path, hunk_no, innermost FROM i WHERE NOT conflict")

@@ -48,3 +48,16 @@ def test_bootstrap_takes_the_references_resamples(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").groupBy("event_type")
     whole = {r.event_type: r.x for r in events.agg(stats.bootstrap_ci(0.5, 1000)("value").alias("x")).collect()}
     assert {r.event_type: r.interval for r in catalogue.QUERIES["q53_bootstrap_ci"](spark, SF).collect()} == whole
+
+
+def test_hunks_are_dealt_out_by_the_size_of_their_table(spark, con, monkeypatch):
+    from palisade.operators import hunks
+
+    plan = lambda: catalogue.QUERIES["q08_hunk_nesting_conflict"](spark, SF)._jdf.queryExecution().toString()
+    # No task holds a map of hunks; a small table is left to Spark.
+    assert "HashAggregate" not in plan() and "REPARTITION_BY_NUM" not in plan()
+    monkeypatch.setattr(hunks, "PIECE", 4 << 10)
+    n = hunks.pieces(spark.read.parquet(f"{SF}/lineitem.parquet"))
+    assert n > 4 and f", {n}), REPARTITION_BY_NUM" in plan()
+    for name in ("q06_hunk_entity_overlap", "q07_hunk_innermost_entity", "q08_hunk_nesting_conflict", "q09_hunk_classification_case"):
+        test_query_equals_sql(spark, con, name)
